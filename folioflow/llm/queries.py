@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, linedup, minhash, mixing, quality, rules, warc
+from . import bpe, chat, hnsw, langid, linedup, minhash, mixing, quality, rules, warc
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -46,6 +46,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chat(rows.union(own)))
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
