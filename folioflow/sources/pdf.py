@@ -1,17 +1,17 @@
 """`spark.read.format("pdf")`: pages of PDF files, and how files are found and read.
 
 binaryFile with operators.relations is the way for corpora of millions of files, since Spark lists those itself. This
-source reads ranges of a mapped file, so it takes files over 2 GB, and takes page_number filters into the reader when
-spark.sql.python.filterPushdown.enabled is true.
+source lists them on the driver and takes files over binaryFile's 2 GB. Page bounds are options, firstPage and lastPage,
+not pushed filters: Spark 4.1 keeps what was pushed for one query on a DataFrame for the next one on it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import is_pdf
 from ..kernel.limits import Options, PdfError
@@ -37,21 +37,6 @@ class PdfReader(DataSourceReader):
         self.options = Options.of(given)
         check_range(self.first, self.last, self.options)
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Bounds of page_number narrow the range read; others are left to Spark."""
-        for f in filters:
-            if getattr(f, "attribute", None) != ("page_number",):
-                yield f
-            elif isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                self.first = max(self.first, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, EqualTo):
-                    self.last = f.value if self.last is None else min(self.last, f.value)
-            elif isinstance(f, (LessThan, LessThanOrEqual)):
-                top = f.value - isinstance(f, LessThan)
-                self.last = top if self.last is None else min(self.last, top)
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs as pafs
 
@@ -99,8 +84,6 @@ class PdfSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the source known. Its filter pushdown needs a setting that Spark leaves off."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PdfSource)
 
 
