@@ -17,6 +17,8 @@ TRAILER = re.compile(rb"\btrailer\s*(?=<<)")
 TRUE_END = re.compile(rb"(?<![A-Za-z0-9_])endstream\s+endobj\b")
 ENTRY = re.compile(rb"(\d{10})\s+(\d{5})\s+([nf])[^\r\n]*(?:\r\n|\r|\n|\Z)")
 SUBSECTION = re.compile(rb"[ \t]*(\d+)[ \t]+(\d+)[ \t]*(?:\r\n|\r|\n|\Z)")
+_GAP = rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)+"
+INDIRECT_LENGTH = re.compile(rb"/Length" + _GAP + rb"\d+" + _GAP + rb"\d+" + _GAP + rb"R\b")
 PEEK = 4096
 TAIL = 65_536
 
@@ -249,6 +251,8 @@ class Store:
 
     def _is_image(self, data: bytes) -> bool:
         at = data.find(b"<<")
+        if b"Image" not in data and b"#" not in data:
+            return False
         try:
             return at >= 0 and Lexer(data, self.budget, at).dictionary().get("Subtype") == "Image"
         except PdfError:
@@ -288,7 +292,7 @@ class Store:
             self.budget.warn(f"Cross-reference object identity mismatch for object {id_}.")
             return None
         first = BLANK.match(data, m.end()).end()
-        if data[first : first + 2] == b"<<" and isinstance(n := Lexer(data, self.budget, first).dictionary().get("Length"), Ref):
+        if data[first : first + 2] == b"<<" and (INDIRECT_LENGTH.search(head) or b"#" in head) and isinstance(n := Lexer(data, self.budget, first).dictionary().get("Length"), Ref):
             self.get(n.id, depth + 1)
         found = self._body(data, m.end(), id_, generation, at)
         if found is None:

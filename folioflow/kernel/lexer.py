@@ -15,6 +15,7 @@ from .limits import Budget, limit
 SPACE = rb"\x00\t\n\x0c\r "
 REGULAR = rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]"
 BLANK = re.compile(rb"(?:[" + SPACE + rb"]+|%[^\r\n]*)*")
+BLANK_STARTS = frozenset((b"\x00", b"\t", b"\n", b"\x0c", b"\r", b" ", b"%"))
 NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d*)(?:[eE][+-]?\d+)?")
 NUMBER_START = re.compile(rb"[+-]?[\d.]")
 REFERENCE = re.compile(rb"(\d+)[" + SPACE + rb"]+(\d+)[" + SPACE + rb"]+R\b")
@@ -76,7 +77,8 @@ class Lexer:
         self.data, self.budget, self.at = data, budget, at
 
     def blank(self) -> None:
-        self.at = BLANK.match(self.data, self.at).end()
+        if self.data[self.at : self.at + 1] in BLANK_STARTS:
+            self.at = BLANK.match(self.data, self.at).end()
 
     def string(self) -> bytes:
         """From an opening parenthesis; one that never closes takes the rest."""
