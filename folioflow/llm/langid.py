@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_columns
+from .common import held_out, join_hot, map_columns, staged
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The model is fitted on about this many documents of each language (chosen by hash), which bounds its size.
@@ -109,8 +109,9 @@ def learn(docs: DataFrame) -> Model:
     """A model from rows that have a text and a lang and are not held out: a hash picks about TRAIN_DOCS of each language."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    rates = rows.groupBy("lang").count().select("lang", (F.lit(TRAIN_DOCS) / F.col("count")).alias("rate"))
-    picked = rows.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    rates = staged(rows.groupBy("lang").count().withColumn("rate", F.lit(TRAIN_DOCS) / F.col("count")), "langid-rates")
+    total = rates.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    picked = join_hot(rows, rates, ["lang"], "count", total).filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
     words = picked.select("lang", "text").mapInArrow(_count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")).persist()
     found = [words.filter(F.col("n") >= LEAST_WORD), words.mapInArrow(_to_grams, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_GRAM)]
     model = Model(*[sorted(map(tuple, x.toPandas().itertuples(index=False))) for x in found])

@@ -143,18 +143,21 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= 4 * BROADCAST_ROWS:
         marks = F.broadcast(marks)
     names = [c for c in docs.columns if c not in ("n_lines_removed", "n_lines_left")]
+    own = "_spans"
+    while own in names:
+        own += "_"
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == marks["d"]) & (content_key(docs) == marks["k"])
-    joined = docs.join(marks, same, "left").select(*[docs[c] for c in names], "_spans")
+    joined = docs.join(marks, same, "left").select(*[docs[c] for c in names], marks["_spans"].alias(own))
     counted = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))).cast("long")
-    clean = joined.filter("_spans is null").drop("_spans").withColumns({"n_lines_removed": F.lit(0).cast("long"), "n_lines_left": counted})
+    clean = joined.filter(F.col(own).isNull()).drop(own).withColumns({"n_lines_removed": F.lit(0).cast("long"), "n_lines_left": counted})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [without(t, [(s["line"], s["n"]) for s in spans]) for t, spans in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
+            found = [without(t, [(s["line"], s["n"]) for s in spans]) for t, spans in zip(b.column("text").to_pylist(), b.column(own).to_pylist(), strict=True)]
             cols = {c: b.column(c) for c in names} | {"text": pa.array([x for x, _ in found], pa.string())}
             yield pa.record_batch(cols | {"n_lines_removed": pa.array([n for _, n in found], pa.int64())})
 
-    changed = joined.filter("_spans is not null")
-    schema = changed.drop("_spans").withColumn("n_lines_removed", F.lit(0).cast("long")).schema
+    changed = joined.filter(F.col(own).isNotNull())
+    schema = changed.drop(own).withColumn("n_lines_removed", F.lit(0).cast("long")).schema
     changed = changed.mapInArrow(cut, schema).withColumn("n_lines_left", counted)
     return clean.unionByName(changed)

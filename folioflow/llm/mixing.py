@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import null_key, staged
+from .common import join_hot, null_key, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -80,7 +80,7 @@ def _size() -> Column:
 
 
 def _dart(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.length("text"), F.substring("text", 1, 64))
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
 
 
 def plan(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -142,10 +142,12 @@ def _limits(sizes: DataFrame, known: DataFrame) -> DataFrame:
 
 def _times(rows: DataFrame, known: DataFrame) -> DataFrame:
     """`rows` (so, size, dart, ...) with source_size, target and times."""
-    known = known.select("so", "size", "source_size", "target", "base", "limit")
+    known = known.select("so", "size", "n", "source_size", "target", "base", "limit")
     if known.count() <= PLAN_BROADCAST_ROWS:
-        known = F.broadcast(known)
-    return rows.join(known, ["so", "size"]).withColumn("times", F.col("base") + F.coalesce(F.col("dart") <= F.col("limit"), F.lit(False)).cast("long"))
+        joined = rows.join(F.broadcast(known), ["so", "size"])
+    else:
+        joined = join_hot(rows, known, ["so", "size"], "n", known.agg(F.sum("n")).first()[0])
+    return joined.withColumn("times", F.col("base") + F.coalesce(F.col("dart") <= F.col("limit"), F.lit(False)).cast("long"))
 
 
 def allot(docs: DataFrame, seed: int = 0) -> DataFrame:

@@ -76,7 +76,7 @@ def test_line_dedup_equals_brute_force(spark, seed):
     docs: dict[int, str | None] = {i: "\n".join(r.choice([*pool, *pool[:3], "", "  "]) for _ in range(r.randint(0, 14))) for i in range(40)}
     docs[40], docs[41], docs[42] = docs[3], None, ""
     rows = [(i, t, "en", "s") for i, t in docs.items()]
-    df = spark.createDataFrame(rows, DOCS).withColumns({"n": F.lit(7), "rank": F.lit("x"), "_spans2": F.lit(1)})
+    df = spark.createDataFrame(rows, DOCS).withColumns({"n": F.lit(7), "rank": F.lit("x"), "_spans": F.lit(1), "d": F.lit(2), "k": F.lit(None).cast("int")})
     got = linedup.dedup_lines(df, 12)
     assert got.columns == [*df.columns, "n_lines_removed", "n_lines_left"]
     want = brute_lines(docs, 12)
