@@ -78,7 +78,7 @@ class Store:
         m = re.compile(rb"\s+(\d+)").search(data[at + 9 : at + 73]) if at >= 0 else None
         if m is None:
             return False
-        queue, seen, known, edges = [int(m[1])], set(), set(), {n}
+        queue, seen, known, edges, places = [int(m[1])], set(), set(), {n}, set()
         while queue:
             self.budget.deadline()
             at = queue.pop(0)
@@ -101,7 +101,7 @@ class Store:
                 section.inner |= hybrid.inner
                 section.free = section.free - hybrid.offsets.keys() - hybrid.inner.keys() | hybrid.free
                 section.trailer = hybrid.trailer | section.trailer
-            edges |= {o for o, _ in section.offsets.values()}
+            places |= {o for o, _ in section.offsets.values()}
             for i, (o, g) in section.offsets.items():
                 if i not in known:
                     self.offsets[i] = (o, g, 0)
@@ -109,7 +109,7 @@ class Store:
             self.inner |= {i: x for i, x in section.inner.items() if i not in new}
             known = new | section.inner.keys() | section.free
             self.budget.objects(len(known - {0}))
-            if max(len(seen), len(edges)) > self.options.maxObjects + len(seen) + 1:
+            if max(len(seen), len(places)) > self.options.maxObjects:
                 raise limit("Cross-reference history exceeds maxObjects.")
             self.trailer = section.trailer | self.trailer
             if self.root is None and isinstance(root := section.trailer.get("Root"), Ref):
@@ -118,7 +118,7 @@ class Store:
                 queue.append(prev)
         if not self.offsets and not self.inner:
             return False
-        line = sorted(edges)
+        line = sorted(edges | places)
         after = dict(zip(line, line[1:], strict=False))
         self.offsets = {i: (o, g, after.get(o, n)) for i, (o, g, _) in self.offsets.items()}
         self.budget.counts["objects_indexed"] = len(self.offsets) + len(self.inner)
@@ -403,19 +403,19 @@ class Store:
         most = self.options.maxRecursionDepth
         if x.id in self.resolving or len(self.resolving) >= most:
             raise limit("Indirect dictionary values exceed the resolution depth limit.")
-        self.resolving.add(x.id)
+        start, seen = x.id, set()
+        self.resolving.add(start)
         try:
-            seen: set[int] = set()
             while isinstance(x, Ref):
                 if len(seen) > most:
                     raise limit("Indirect object nesting exceeds maxRecursionDepth.")
                 if x.id in seen or (one := self.get(x.id)) is None:
                     return NOTHING
                 seen.add(x.id)
-                last, x = x, one.value
+                x = one.value
             return x
         finally:
-            self.resolving.clear() if not seen else self.resolving.difference_update(seen)
+            self.resolving.discard(start)
 
     def pipeline(self, entries: dict[str, Any]) -> list[tuple[str, dict[str, int]]]:
         names = self.resolve(entries.get("Filter"))

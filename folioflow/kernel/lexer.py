@@ -21,6 +21,7 @@ NUMBER_START = re.compile(rb"[+-]?[\d.]")
 REFERENCE = re.compile(rb"(\d+)[" + SPACE + rb"]+(\d+)[" + SPACE + rb"]+R\b")
 NAME = re.compile(rb"/(" + REGULAR + rb"*)")
 WORD = re.compile(REGULAR + rb"+")
+OCTAL = re.compile(rb"[0-7]{1,3}")
 RUN = re.compile(rb"[^()\\]+")
 END_OF_TOKEN = re.compile(rb"(?=[\x00\t\n\x0c\r ()<>\[\]{}/%])|\Z")
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -99,7 +100,7 @@ class Lexer:
                 at += 1
                 if c in ESCAPES:
                     parts.append(ESCAPES[c])
-                elif octal := re.compile(rb"[0-7]{1,3}").match(data, at - 1):
+                elif octal := OCTAL.match(data, at - 1):
                     at = octal.end()
                     parts.append(bytes([int(octal[0], 8) & 0xFF]))
                 elif c == b"\r":

@@ -287,3 +287,22 @@ def test_damage_never_escapes_as_another_error():
             data[r.randrange(5, len(data))] = r.randrange(256)
         d = Reader(bytes(data), options=Options(deadlineSeconds=10)).read()
         assert d.error is None or 1 <= d.error[0] <= 7
+
+
+def test_operand_bytes_last_over_streams_and_end_with_the_operator():
+    first, second = b"BT (%s)" % (b"x" * 400), b" Tj (%s) Tj ET" % (b"y" * 400)
+    objects = w.page_objects([b"[60 0 R 61 0 R]"])
+    objects[60], objects[61] = w.stream(first), w.stream(second)
+    data = w.classic(objects)
+    assert parse_content(data, options=Options(maxOperandBytes=2500)).pages[0].text == "x" * 400 + "y" * 400
+    fails(data, 7, "maxOperandBytes", options=Options(maxOperandBytes=1300))
+
+
+def test_reference_chains():
+    objects = w.page_objects([b"BT (x) Tj ET"])
+    objects[5] = objects[5].replace(b"/Contents 6 0 R", b"/Contents 60 0 R")
+    objects[60], objects[61] = b"61 0 R", b"[6 0 R 60 0 R]"
+    assert parse_content(w.classic(objects)).pages[0].text == "x"
+    objects[2] = objects[2].replace(b"/Resources << /Font << /F1 3 0 R >> >>", b"/Resources 70 0 R")
+    objects[70], objects[71] = b"71 0 R", b"70 0 R"
+    assert parse_content(w.classic(objects)).pages[0].text == "x"
