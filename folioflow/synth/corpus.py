@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that cost much each, dealt over all cores where there are fewer partitions than cores; a large table stays as it is."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def with_pdf(rows: DataFrame, build: Callable[[dict], bytes]) -> DataFrame:
     """`rows` with a column content: what `build` makes of each row."""
 
@@ -19,7 +25,7 @@ def with_pdf(rows: DataFrame, build: Callable[[dict], bytes]) -> DataFrame:
                 made = pa.array([build(r) for r in part.to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, "content"])
 
-    return rows.mapInArrow(run, rows.withColumn("content", F.lit(b"")).schema)
+    return spread(rows).mapInArrow(run, rows.withColumn("content", F.lit(b"")).schema)
 
 
 def write_pdfs(rows: DataFrame, folder: str, name: str = "id") -> int:
