@@ -25,7 +25,6 @@ DOCUMENT = (
     f"pages array<struct<{PAGE.replace(' int', ': int').replace(' string', ': string')}>>, pdf_version string, is_encrypted boolean, is_decrypted boolean, "
     f"details map<string,string>, warnings array<string>, page_count int, metrics struct<{METRICS}>, error struct<code: int, message: string>"
 )
-BATCH_ROWS = "64"
 
 
 def _keep(df: DataFrame, content: str, password: str | None, keep: list[str] | None) -> tuple[DataFrame, list[str]]:
