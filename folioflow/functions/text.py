@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .stopwords import BASE
 
-#: What PHP's trim and a document's text drop at its ends.
+#: What a document's text drops at its ends.
 WHITE = " \t\n\r\x00\x0b"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
