@@ -22,7 +22,7 @@ from .common import map_columns
 
 NONE = np.int32(2**31 - 1)
 WIDEST = 64
-CACHED = 1_000_000
+CACHED = 600_000
 CHUNK_CHARS = 1_500_000
 
 

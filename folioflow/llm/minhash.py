@@ -31,7 +31,7 @@ LOW, HIGH = 0.68, 0.84
 SMALL = 256
 CHUNK = 20_000
 BATCH_WORDS = 200_000
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 
 _U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
@@ -150,6 +150,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols = [c.slice(start, n) for c in b.columns[:2]]
             cols += [pa.array([_content(d) for d in docs], pa.binary()), lists, pa.array([x.tobytes() for x in sketch], pa.binary())]
             yield pa.record_batch(cols, ["doc_id", "key", "content", "bands", "sketch"]).filter(pa.array(some))
+    _words.clear()  # a worker process lives on for other stages
 
 
 def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +161,7 @@ def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [np.unique(cell[at[i] : at[i + 1]].astype(np.uint32)).tobytes() for i in range(len(docs))]
             same = pa.array([_content(d) == c for d, c in zip(docs, b.column(1).slice(start, len(docs)).to_pylist(), strict=True)])
             yield pa.record_batch([b.column(0).slice(start, len(docs)), pa.array(own, pa.binary())], ["id", "cells"]).filter(same)
+    _words.clear()
 
 
 def link(ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
