@@ -30,6 +30,10 @@ SKETCH = 128
 LOW, HIGH = 0.68, 0.84
 SMALL = 256
 CHUNK = 20_000
+#: Members on either side of a block, about, of a bucket that is compared in full.
+BLOCK = 4096
+#: Pairs that a member hands over in a round of full comparison; where it has more, another round takes GROWTH times as many.
+FIRST, GROWTH = 8, 8
 BATCH_WORDS = 200_000
 CACHED_WORDS = 400_000
 
@@ -165,7 +169,7 @@ def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link(ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a bucket's members to verify: enough to connect whatever is similar, fewer than three a member.
+    """Pairs of a bucket's members to verify first, fewer than three a member: enough to connect what is similar if all are verified.
 
     Up to SMALL members: a spanning forest of the highest estimates from LOW on, and each member's three best.
     In larger buckets a member speaks for those at HIGH or more to it; each speaker is also paired with the
@@ -245,6 +249,70 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(*left)
 
 
+def unlike(ask: tuple[np.ndarray, ...], answer: tuple[np.ndarray, ...], most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of different classes at LOW or more between (ids, classes, sketches) and others, `most` of the likeliest for each of the first; and whether any had more."""
+    out, more = [], False
+    for i, c, s in zip(*ask, strict=True):
+        same = (answer[2] == s).sum(1)
+        hit = np.flatnonzero((same >= LOW * SKETCH) & (answer[1] != c))
+        if len(hit) > most:
+            more = True
+            hit = hit[np.argsort(-same[hit], kind="stable")[:most]]
+        out += [(min(int(i), x), max(int(i), x)) for x in answer[0][hit].tolist()]
+    return out, more
+
+
+def _blocks(most: int):  # noqa: ANN202
+    """From rows (bucket, i, j, asks, id, class, sketch) that come sorted by the first three: pairs (a, b), and a row with the bucket alone where a member had more than `most`."""
+
+    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        asks = np.asarray(t.column(3))
+        sk = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH)
+        cols = (np.asarray(t.column(4)), np.asarray(t.column(5)), sk)
+        found, more = unlike(tuple(x[asks] for x in cols), tuple(x[~asks] for x in cols), most)
+        found = list(set(found))
+        a, b, at = [x for x, _ in found], [x for _, x in found], [None] * len(found)
+        if more:
+            a, b, at = [*a, None], [*b, None], [*at, t.column(0)[0].as_py()]
+        return pa.record_batch([pa.array(x, pa.int64()) for x in (a, b, at)], ["a", "b", "bucket"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, key = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([np.asarray(b.column(i)) for i in range(3)], 1)
+            starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)].tolist()
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                if rows and tuple(keys[s]) != key:
+                    yield block(rows)
+                    rows = []
+                key = tuple(keys[s])
+                rows.append(b.slice(s, e - s))
+        if rows:
+            yield block(rows)
+
+    return run
+
+
+def _open_pairs(members: DataFrame, texts: DataFrame, component: DataFrame, total: int, most: int) -> DataFrame:
+    """a, b, bucket, as of _blocks, from buckets whose members (bucket, id, n) are of several classes so far: all outside a bucket's largest class ask all of the bucket."""
+    named = members.join(component, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    named = staged(named, "dart-named")
+    own = named.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    own = own.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("n")).filter("main.k < n")
+    own = own.select("bucket", "n", F.col("main.c").alias("main"), F.ceil((F.col("n") - F.col("main.k")) / BLOCK).alias("asking"), F.ceil(F.col("n") / BLOCK).alias("asked"))
+    rows = join_hot(named, staged(own, "dart-open"), ["bucket"], "n", max(total, 1) * BANDS).join(texts.select("id", "sketch"), "id")
+    rows = staged(rows, "dart-asking")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    ask = rows.filter("c <> main").select("bucket", part("asking").alias("i"), each("asked").alias("j"), F.lit(True).alias("asks"), "id", "c", "sketch")
+    answer = rows.select("bucket", each("asking").alias("i"), part("asked").alias("j"), F.lit(False).alias("asks"), "id", "c", "sketch")
+    laid = ask.unionByName(answer).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.xxhash64("id"))
+    return staged(laid.mapInArrow(_blocks(most), "a long, b long, bucket long"), "dart-found")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose weighted Jaccard similarity is at least SIMILAR."""
     for b in batches:
@@ -259,11 +327,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
+def _cell_sets(src: DataFrame, texts: DataFrame, pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """id, cells: `known` and those of the pairs' other texts."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if known is not None:
+        ids = ids.join(known.select("id"), "id", "left_anti")
+    ids = staged(ids.join(texts.select("id", "content"), "id"), "dart-ids")
+    n = ids.count()
+    if known is not None and not n:
+        return known
+    if n <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    again = src.join(ids, src["doc_id"] == ids["id"]).select("id", "content", "text")
+    sets = staged(again.mapInArrow(_cells_of, "id long, cells binary").dropDuplicates(["id"]), "dart-cells")
+    return sets if known is None else known.unionByName(sets)
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b")
+    return staged(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "dart-links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, kept, key for every row: class_id is the smallest doc_id that verified links reach; kept where it is the row's own.
 
     Texts with equal words are one element of the search, whatever their number. Buckets give pairs
-    through representatives, never all of theirs. Null and empty texts are classes of their own.
+    through representatives first; between classes that stay apart all that may be similar are verified. Null and empty texts are classes of their own.
     Rows that share a doc_id are one document. A null doc_id counts as the smallest. Extra columns
     are ignored; an empty table gives no rows.
     """
@@ -284,15 +373,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = members.filter(F.col("n") > CHUNK).groupBy("bucket").agg(F.min("id").alias("a"), F.max("n").alias("n"))
     meet = join_hot(members.filter(F.col("n") > CHUNK).select("bucket", "id"), heads, ["bucket"], "n", max(total, 1) * BANDS)
     pairs = staged(found.unionByName(meet.filter("a <> id").select("a", F.col("id").alias("b"))).distinct(), "dart-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = staged(ids.join(texts.select("id", "content"), "id"), "dart-ids")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    again = src.join(ids, src["doc_id"] == ids["id"]).select("id", "content", "text")
-    sets = staged(again.mapInArrow(_cells_of, "id long, cells binary").dropDuplicates(["id"]), "dart-cells")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b")
-    links = staged(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "dart-links")
-    component = connected_components(links)
+    sets = _cell_sets(src, texts, pairs, None)
+    component = connected_components(_links(pairs, sets))
+    # What these pairs left apart is compared in full, until no pair of different classes at LOW or more is unverified in any bucket.
+    rest, most, tested = members.filter(f"n > {SMALL} and n <= {CHUNK}"), FIRST, pairs
+    while True:
+        found = _open_pairs(rest, texts, component, total, most)
+        pairs = found.filter("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "dart-pairs")
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            sets = _cell_sets(src, texts, pairs, sets)
+            links = _links(pairs, sets)
+            if not links.isEmpty():
+                component = connected_components(links.unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        more = found.filter("bucket is not null").select("bucket").distinct()
+        if more.isEmpty():
+            break
+        rest = staged(join_hot(rest.drop("n"), staged(full.join(more, "bucket", "left_semi"), "dart-buckets"), ["bucket"], "n", max(total, 1) * BANDS), "dart-members")
+        most *= GROWTH
     named = texts.join(component, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"), "copies")
     worded = join_hot(signed.select("doc_id", "key", "content"), staged(named, "dart-classes"), ["content"], "copies", total).select("doc_id", "key", "class_id")
     wordless = src.filter(~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))).select("doc_id", "key", F.col("doc_id").alias("class_id"))
