@@ -31,3 +31,10 @@ def test_minhash_star_in_large_buckets(spark):
     texts = star(1, 2000)
     got = classes(spark, {(i + 700) % len(texts): t for i, t in enumerate(texts)})
     assert set(got.values()) == {0}
+
+
+def test_minhash_links_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 100)
+    texts = star(2, 1200)
+    got = classes(spark, {(i + 700) % len(texts): t for i, t in enumerate(texts)})
+    assert set(got.values()) == {0}
