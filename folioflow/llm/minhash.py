@@ -376,7 +376,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = _cell_sets(src, texts, pairs, None)
     component = connected_components(_links(pairs, sets))
     # What these pairs left apart is compared in full, until no pair of different classes at LOW or more is unverified in any bucket.
-    rest, most, tested = members.filter(f"n > {SMALL}"), FIRST, pairs
+    rest, most, tested = members.filter("n > 2"), FIRST, pairs
     while True:
         found = _open_pairs(rest, texts, component, total, most)
         pairs = found.filter("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")

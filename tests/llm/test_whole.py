@@ -38,3 +38,9 @@ def test_minhash_links_across_chunks(spark, monkeypatch):
     texts = star(2, 1200)
     got = classes(spark, {(i + 700) % len(texts): t for i, t in enumerate(texts)})
     assert set(got.values()) == {0}
+
+
+def test_minhash_star_in_small_buckets(spark):
+    texts = star(2, 600, 186, 4)
+    got = classes(spark, {(i + 70) % len(texts): t for i, t in enumerate(texts)})
+    assert set(got.values()) == {0}
