@@ -2,7 +2,7 @@
 
 Equal vectors are merged first. The others are dealt over shards by hash and each shard builds a graph:
 layers that thin out by a factor of M, nodes inserted in blocks, links chosen so that no two point the same way.
-An audit of each shard compares its answers with brute force and doubles the beam until they pass. Every
+An audit of each shard compares its answers to some of its vectors and of others' with brute force and doubles the beam until they pass. Every
 vector then queries every shard; what comes near the limit is verified in double precision.
 """
 
@@ -138,8 +138,8 @@ class Graph:
             nbr[hard] = self._choose(self.unit[hard], own, np.where(own >= 0, s, -np.inf), most)
 
     @classmethod
-    def build(cls, ids: np.ndarray, x: np.ndarray) -> tuple[Graph, np.ndarray]:
-        """The audited graph, and `ids` in its order."""
+    def build(cls, ids: np.ndarray, x: np.ndarray, others: np.ndarray | None = None) -> tuple[Graph, np.ndarray]:
+        """The graph, audited with `others` too, and `ids` in its order."""
         h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
@@ -158,23 +158,42 @@ class Graph:
                 g._insert(nbr, layer, at, end, EF_BUILD)
                 at = end
             g.layers[layer] = nbr
-        g.audit()
+        g.audit(others=others)
         return g, ids[order]
 
-    def audit(self, limit: float = SIMILAR) -> None:
-        """Double the beam until a sample of the nodes finds what brute force finds."""
+    def audit(self, limit: float = SIMILAR, others: np.ndarray | None = None) -> None:
+        """Double the beam until each probe, a sample of the nodes and `others`, on average finds what brute force finds, itself not counted."""
         n = len(self.x)
         probe = np.unique(np.linspace(0, n - 1, min(AUDIT, n)).astype(int))
-        true = int((self.unit[probe] @ self.unit.T >= limit).sum())
+        q, own = self.unit[probe], probe
+        if others is not None and len(others):
+            q = np.concatenate([q, (others / np.sqrt(np.square(others).sum(1))[:, None]).astype(np.float32)])
+            own = np.r_[probe, np.full(len(others), -1)]
         while self.ef < n:
-            if len(self.near(self.unit[probe], limit)[0]) >= RECALL * true:
+            if self._recall(q, own, limit) >= RECALL:
                 return
             self.ef *= 2
         self.ef = n
 
+    def _recall(self, q: np.ndarray, own: np.ndarray, limit: float) -> float:
+        """Mean share of its links that a query with links finds; own: its node, -1 for none."""
+        shares = []
+        for k in range(0, len(q), BLOCK):
+            true = q[k : k + BLOCK] @ self.unit.T >= limit
+            me = np.flatnonzero(own[k : k + BLOCK] >= 0)
+            true[me, own[k : k + BLOCK][me]] = False
+            found = np.zeros(true.shape, bool)
+            found[self.near(q[k : k + BLOCK], limit)] = True
+            some = true.any(1)
+            shares.append((true & found).sum(1)[some] / true.sum(1)[some])
+        shares = np.concatenate(shares)
+        return float(shares.mean()) if len(shares) else 1.0
+
     def near(self, q: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) for nodes with a similarity of about `limit` or more: the beam, then on from every hit to its neighbours."""
+        """(query, node) for nodes with a similarity of about `limit` or more: the beam, then on from every hit to its neighbours; all nodes where the beam holds all."""
         n = len(self.x)
+        if self.ef >= n:
+            return np.nonzero(q @ self.unit.T >= limit - 1e-5)
         ids, sim = self._beam(self.layers[0], n, q, self._entry(q, 0), min(self.ef, n))
         a, c = np.nonzero(sim >= limit - 1e-5)
         out_q, out_n = [a], [ids[a, c]]
@@ -209,7 +228,11 @@ class Graph:
 
 def _builder(folder: str):  # noqa: ANN202
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        g, ids = Graph.build(part.id.to_numpy(), np.array(part.v.tolist(), np.float64))
+        probe = part.probe.to_numpy()
+        part, others = part[~probe], np.array(part.v[probe].tolist(), np.float64)
+        if not len(part):
+            return pd.DataFrame({"dim": [], "file": [], "rows": [], "ef": []}).astype({"dim": "int32", "file": str, "rows": "int64", "ef": "int64"})
+        g, ids = Graph.build(part.id.to_numpy(), np.array(part.v.tolist(), np.float64), others)
         out = _Out(folder, "graph")
         out.write(g.to_bytes(ids))
         out.close()
@@ -263,7 +286,11 @@ def similar_vectors(vectors: DataFrame, limit: float = SIMILAR) -> DataFrame:
     total = rows.count()
     shards = max(SHARDS, -(-groups.count() // SHARD_ROWS))
     folder = fresh_path(spark, "hnsw-graphs")
-    dealt = groups.select("id", "v", "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
+    dealt = groups.select("id", "v", "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(False).alias("probe"))
+    rates = groups.groupBy("dim").agg((F.lit(AUDIT) / F.count("*")).alias("rate"))
+    probes = groups.join(rates, "dim").filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    probes = probes.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    dealt = dealt.unionByName(probes.filter("shard <> own").select("id", "v", "dim", "shard", F.lit(True).alias("probe")))
     graphs = dealt.groupBy("dim", "shard").applyInPandas(_builder(folder), "dim int, file string, rows long, ef long").collect()
     files = [(g["dim"], g["file"]) for g in graphs]
     queries = groups.select("id", "v", "dim").repartition(max(2 * spark.sparkContext.defaultParallelism, shards), "id")

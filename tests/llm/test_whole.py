@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from folioflow.llm import minhash
+import numpy as np
+
+from folioflow.llm import hnsw, minhash
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -44,3 +46,20 @@ def test_minhash_star_in_small_buckets(spark):
     texts = star(2, 600, 186, 4)
     got = classes(spark, {(i + 70) % len(texts): t for i, t in enumerate(texts)})
     assert set(got.values()) == {0}
+
+
+def test_audit_sees_small_groups_beside_a_hot_one():
+    """Nodes that the graph does not lead to are found though a hot group's links are many, and those of vectors outside count too."""
+    r = np.random.default_rng(6)
+    hot = r.normal(size=24) + r.normal(size=(1200, 24)) * 0.01
+    small = np.repeat(r.normal(size=(6, 24)), 2, 0) + r.normal(size=(12, 24)) * 0.01
+    for others in (None, r.permutation(small[:1])):
+        mine = small if others is None else small[1:2]
+        g, ids = hnsw.Graph.build(np.arange(1200 + len(mine)), np.concatenate([hot, mine]))
+        lost = np.flatnonzero(ids >= 1200)
+        g.layers = [np.where(np.isin(x, lost), -1, x) for x in g.layers]
+        g.ef = hnsw.EF_START
+        g.audit(**({} if others is None else {"others": others}))
+        q = g.unit[lost] if others is None else g.unit[lost][:1]
+        true = q @ g.unit.T >= 0.95
+        assert len(g.near(q, 0.95)[0]) == true.sum()
