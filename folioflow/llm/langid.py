@@ -23,12 +23,13 @@ TRAIN_DOCS = 2500
 #: Words and n-grams seen fewer times in the sample are not kept.
 LEAST_WORD, LEAST_GRAM = 2, 3
 LONGEST = 5
+#: Letters of the longest unseen word whose scores are cached.
 LONGEST_WORD = 40
 CACHED = 300_000
 
 
 def grams(word: str, n: int) -> list[str]:
-    marked = f"^{word[:LONGEST_WORD]}$"
+    marked = f"^{word}$"
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 

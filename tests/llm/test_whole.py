@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from folioflow.llm import hnsw, minhash
+from folioflow.llm import hnsw, langid, minhash
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -63,3 +63,10 @@ def test_audit_sees_small_groups_beside_a_hot_one():
         q = g.unit[lost] if others is None else g.unit[lost][:1]
         true = q @ g.unit.T >= 0.95
         assert len(g.near(q, 0.95)[0]) == true.sum()
+
+
+def test_long_runs_of_letters_are_scored_whole():
+    assert langid.grams("ab" * 40, 2)[-2:] == ["ab", "b$"]
+    assert len(langid.grams("ab" * 40, 2)) == 81
+    model = langid.Model([("de", "der", 5), ("en", "the", 5)], [("en", "e", 50), ("de", "e", 5), ("de", "u", 50), ("en", "u", 5)])
+    assert model.predict("e" * 40 + "u" * 300)[0] == "de"
