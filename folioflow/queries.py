@@ -375,6 +375,8 @@ _locked(4, "encrypted_r4_rc4", "benchmark", "item_id", stream_method="V2", strin
 _locked(4, "encrypted_r4_identity", "benchmark", "item_id", stream_method="None", clear_metadata=True)
 _locked(5, "encrypted_r5", "benchmark", "item_id", b"secret")
 _locked(6, "encrypted_r6", "benchmark", "item_id", b"secret")
+_locked(4, "encrypted_r4_documents", "documents", "doc_id", b"secret")
+_locked(6, "encrypted_r6_documents", "documents", "doc_id", b"secret")
 
 
 @query("SELECT item_id, CAST(0 AS INT) AS page_count, true AS is_encrypted, 'Encrypted PDF detected. Extraction quality may be limited.' AS warning, CAST(0 AS INT) AS n_details FROM benchmark")
