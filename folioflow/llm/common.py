@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,26 +86,41 @@ def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (x, root) that connect what the edges (a, b) do, one for each vertex but the smallest of its component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        i, j = root[i], root[j]
+        open_ = i != j
+        if not open_.any():
+            break
+        i, j = i[open_], j[open_]
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    far = root != np.arange(len(ids))
+    return ids[far], ids[root[far]]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning stars of a partition's edges, by union-find."""
-    parent: dict[int, int] = {}
+    """Spanning stars of a partition's edges."""
+    a = b = np.zeros(0, np.int64)
+    wait, size = [], 0
 
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent.setdefault(p, p)
-            x = parent[x]
-        return x
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        return stars(np.concatenate([a, *[x for x, _ in wait]]), np.concatenate([b, *[y for _, y in wait]]))
 
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-    pairs = [(x, root(x)) for x in parent]
-    pairs = [(x, r) for x, r in pairs if x != r]
-    for i in range(0, len(pairs), 50_000):
-        part = pairs[i : i + 50_000]
-        yield pa.record_batch({"a": pa.array([x for x, _ in part], pa.int64()), "b": pa.array([r for _, r in part], pa.int64())})
+        wait.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        size += batch.num_rows
+        if size > len(a) + 500_000:
+            a, b = reduced()
+            wait, size = [], 0
+    a, b = reduced()
+    for i in range(0, len(a), 50_000):
+        yield pa.record_batch({"a": pa.array(a[i : i + 50_000]), "b": pa.array(b[i : i + 50_000])})
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 Equal vectors are merged first. The others are dealt over shards by hash and each shard builds a graph:
 layers that thin out by a factor of M, nodes inserted in blocks, links chosen so that no two point the same way.
-An audit of each shard compares its answers to some of its vectors and of others' with brute force and doubles the beam until they pass. Every
-vector then queries every shard; what comes near the limit is verified in double precision.
+Vectors of a shard that are all but equal in direction are one node with its members, so that no knot of ties
+hides the rest; nodes that the layers don't lead to are linked to their nearest node. An audit of each shard
+compares its answers to some of its vectors and of others' with brute force and doubles the beam until they pass.
+Every vector then queries every shard; a member near the limit is verified in double precision. A task returns
+the number of links of each of its vectors and a spanning forest of them, never the links of a group one by one.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh_path, join_hot, staged
+from .common import connected_components, fresh_path, join_hot, staged, stars
 from .warc import _Out
 
 SIMILAR = 0.95
@@ -28,6 +31,12 @@ EF_START = 48
 BLOCK = 256
 SHARDS = 8
 SHARD_ROWS = 100_000
+#: Vectors of a searching task.
+QUERY_ROWS = 20_000
+#: Pairs that are looked at together.
+PAIRS = 200_000
+#: Directions that agree to so many decimals share a node.
+DECIMALS = 3
 AUDIT = 500
 #: Share of the audited nodes' links that the graph must find.
 RECALL = 0.999
@@ -36,11 +45,19 @@ MARGIN = 0.05
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, layers: list[np.ndarray], ef: int = EF_START):
-        """x: float64 rows in insertion order, of any length but zero. layers: neighbours by node, -1 for none; layer 0 first, each over a prefix of the rows."""
-        self.x, self.layers, self.ef = x, layers, ef
+    def __init__(self, x: np.ndarray, first: np.ndarray, layers: list[np.ndarray], ef: int = EF_START, recall: float = 1.0):
+        """x: float64 rows by node in insertion order; node i has rows first[i] to first[i + 1], of which the first stands for it.
+
+        layers: neighbours by node, -1 for none; layer 0 first, each over a prefix of the nodes. recall: as audited.
+        """
+        self.x, self.first, self.layers, self.ef, self.recall = x, first, layers, ef, recall
         self.norm = np.sqrt(np.square(x).sum(1))
-        self.unit = (x / self.norm[:, None]).astype(np.float32)
+        self.members = (x / self.norm[:, None]).astype(np.float32)
+        self.unit = self.members[first[:-1]]
+        node = np.repeat(np.arange(len(self.unit)), np.diff(first))
+        self.back: tuple[np.ndarray, np.ndarray] | None = None
+        #: The widest angle between a node and one of its members.
+        self.slack = 2 * np.arcsin(min(1.0, float(np.sqrt(np.square(self.members - self.unit[node]).sum(1).max(initial=0))) / 2))
 
     def _beam(self, nbr: np.ndarray, n: int, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all queries in step over the first n nodes of a layer: ids and similarities, best first."""
@@ -51,7 +68,7 @@ class Graph:
         seen = np.zeros((len(q), n + 1), bool)
         ids[:, 0], sim[:, 0] = entry, np.einsum("qd,qd->q", self.unit[entry], q)
         seen[rows, entry] = seen[:, n] = True
-        pick = min(4, ef)
+        pick = min(max(4, ef // 16), ef)
         while len(rows):
             wait = np.where(done[rows] | (ids[rows] < 0), -np.inf, sim[rows])
             top = np.argpartition(-wait, pick - 1, axis=1)[:, :pick] if pick < ef else np.tile(np.arange(ef), (len(rows), 1))
@@ -139,14 +156,18 @@ class Graph:
 
     @classmethod
     def build(cls, ids: np.ndarray, x: np.ndarray, others: np.ndarray | None = None) -> tuple[Graph, np.ndarray]:
-        """The graph, audited with `others` too, and `ids` in its order."""
-        h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        level = np.floor(-np.log(((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / np.log(M)).astype(int)
-        order = np.lexsort((h, -level))
-        level = level[order]
-        g = cls(x[order], [])
+        """The graph, audited with `others` too, and `ids` in the order of its rows."""
+        unit = x / np.sqrt(np.square(x).sum(1))[:, None]
+        _, node = np.unique(np.round(unit, DECIMALS) + 0.0, axis=0, return_inverse=True)
+        node = node.ravel()
+        h = _hash(ids)
+        low = np.full(node.max() + 1, np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(low, node, h)
+        level = np.floor(-np.log(((low >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / np.log(M)).astype(int)
+        place = np.empty(len(low), np.int64)
+        place[np.lexsort((low, -level))] = np.arange(len(low))
+        order = np.lexsort((h, place[node]))
+        g = cls(x[order], np.searchsorted(place[node][order], np.arange(len(low) + 1)), [])
         sizes = [int((level >= at).sum()) for at in range(level.max() + 1)]
         g.layers = [np.zeros((0, 0), np.int64)] * len(sizes)
         for layer in range(len(sizes) - 1, -1, -1):
@@ -157,23 +178,50 @@ class Graph:
                 end = min(n, at + max(16, min(BLOCK, at)))
                 g._insert(nbr, layer, at, end, EF_BUILD)
                 at = end
-            g.layers[layer] = nbr
+            g.layers[layer] = g._joined(nbr)
         g.audit(others=others)
         return g, ids[order]
 
+    def _joined(self, nbr: np.ndarray) -> np.ndarray:
+        """`nbr` with links to nodes that the first node does not lead to, from the nearest that it leads to."""
+        n = len(nbr)
+        seen = np.zeros(n + 1, bool)
+
+        def walk(front: np.ndarray) -> None:
+            while len(front):
+                seen[front] = True
+                near = np.unique(nbr[front])
+                near = near[near >= 0]
+                front = near[~seen[near]]
+
+        walk(np.zeros(1, np.int64))
+        while len(lost := np.flatnonzero(~seen[:n])):
+            lost = lost[:: -(-len(lost) // BLOCK)]
+            known = np.flatnonzero(seen[:n])
+            to = known[(self.unit[lost] @ self.unit[known].T).argmax(1)]
+            for node, at in zip(lost, to, strict=True):
+                free = np.flatnonzero(nbr[at] < 0)
+                if not len(free):
+                    nbr = np.pad(nbr, ((0, 0), (0, 1)), constant_values=-1)
+                    free = [nbr.shape[1] - 1]
+                nbr[at, free[0]] = node
+            walk(lost)
+        return nbr
+
     def audit(self, limit: float = SIMILAR, others: np.ndarray | None = None) -> None:
         """Double the beam until each probe, a sample of the nodes and `others`, on average finds what brute force finds, itself not counted."""
-        n = len(self.x)
+        n = len(self.unit)
         probe = np.unique(np.linspace(0, n - 1, min(AUDIT, n)).astype(int))
         q, own = self.unit[probe], probe
         if others is not None and len(others):
             q = np.concatenate([q, (others / np.sqrt(np.square(others).sum(1))[:, None]).astype(np.float32)])
             own = np.r_[probe, np.full(len(others), -1)]
         while self.ef < n:
-            if self._recall(q, own, limit) >= RECALL:
+            self.recall = self._recall(q, own, limit)
+            if self.recall >= RECALL:
                 return
             self.ef *= 2
-        self.ef = n
+        self.ef, self.recall = n, 1.0
 
     def _recall(self, q: np.ndarray, own: np.ndarray, limit: float) -> float:
         """Mean share of its links that a query with links finds; own: its node, -1 for none."""
@@ -183,123 +231,195 @@ class Graph:
             me = np.flatnonzero(own[k : k + BLOCK] >= 0)
             true[me, own[k : k + BLOCK][me]] = False
             found = np.zeros(true.shape, bool)
-            found[self.near(q[k : k + BLOCK], limit)] = True
+            found[self.near(q[k : k + BLOCK], limit)[:2]] = True
             some = true.any(1)
             shares.append((true & found).sum(1)[some] / true.sum(1)[some])
         shares = np.concatenate(shares)
         return float(shares.mean()) if len(shares) else 1.0
 
-    def near(self, q: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) for nodes with a similarity of about `limit` or more: the beam, then on from every hit to its neighbours; all nodes where the beam holds all."""
-        n = len(self.x)
+    def _around(self, nodes: np.ndarray) -> np.ndarray:
+        """Nodes that these link to or that link to these."""
+        if self.back is None:
+            node, col = np.nonzero(self.layers[0] >= 0)
+            to = self.layers[0][node, col]
+            order = np.argsort(to, kind="stable")
+            self.back = node[order], np.searchsorted(to[order], np.arange(len(self.unit) + 1))
+        source, ends = self.back
+        start, size = ends[nodes], ends[nodes + 1] - ends[nodes]
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.unique(np.concatenate([self.layers[0][nodes].ravel(), source[at]]))
+
+    def near(self, q: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, similarity) for nodes of about `limit` or more: the beam, then on from hits to their neighbours; all nodes where the beam holds all."""
+        n = len(self.unit)
         if self.ef >= n:
-            return np.nonzero(q @ self.unit.T >= limit - 1e-5)
-        ids, sim = self._beam(self.layers[0], n, q, self._entry(q, 0), min(self.ef, n))
-        a, c = np.nonzero(sim >= limit - 1e-5)
-        out_q, out_n = [a], [ids[a, c]]
-        # A beam full of hits may have cut some off.
-        for i in np.flatnonzero((sim >= limit - MARGIN).sum(1) >= min(self.ef, n) // 2):
+            s = q @ self.unit.T
+            a, node = np.nonzero(s >= limit - 1e-5)
+            return a, node, s[a, node]
+        ids, sim = self._beam(self.layers[0], n, q, self._entry(q, 0), self.ef)
+        # A beam full of hits may have cut some off: those queries walk the region around their hits together.
+        full = (sim >= limit - MARGIN).sum(1) >= self.ef // 2
+        a, c = np.nonzero((sim >= limit - 1e-5) & ~full[:, None])
+        out = [(a, ids[a, c], sim[a, c])]
+        if full.any():
+            mine = np.flatnonzero(full)
             seen = np.zeros(n, bool)
-            front = ids[i][(sim[i] >= limit - MARGIN)]
+            front = np.unique(ids[mine][sim[mine] >= limit - MARGIN])
             seen[front] = True
             while len(front):
-                near = self.layers[0][front].ravel()
-                near = np.unique(near[near >= 0])
-                near = near[~seen[near]]
-                seen[near] = True
-                s = self.unit[near] @ q[i]
-                front = near[s >= limit - MARGIN]
-                hit = near[s >= limit - 1e-5]
-                out_q.append(np.full(len(hit), i))
-                out_n.append(hit)
-        pair = np.unique(np.stack([np.concatenate(out_q), np.concatenate(out_n)]), axis=1)
-        return pair[0], pair[1]
-
-    def to_bytes(self, ids: np.ndarray) -> bytes:
+                s = q[mine] @ self.unit[front].T
+                a, c = np.nonzero(s >= limit - 1e-5)
+                out.append((mine[a], front[c], s[a, c]))
+                near = self._around(front[(s >= limit - MARGIN).any(0)])
+                front = near[near >= 0]
+                front = front[~seen[front]]
+                seen[front] = True
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def links(self, q: np.ndarray, x: np.ndarray, norm: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) for every pair found whose cosine in double precision is `limit` or more; q: unit vectors of x."""
+        a, node, near = self.near(q, float(np.cos(min(np.pi, np.arccos(limit) + self.slack))))
+        size = self.first[node + 1] - self.first[node]
+        ends = np.cumsum(size)
+        for k in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            at = np.arange(k, min(k + PAIRS, int(ends[-1])))
+            pair = np.searchsorted(ends, at, "right")
+            i, j = a[pair], self.first[node[pair] + 1] - (ends[pair] - at)
+            s = near[pair]
+            more = np.flatnonzero(size[pair] > 1)
+            s[more] = np.einsum("kd,kd->k", q[i[more]], self.members[j[more]])
+            ok = s >= limit
+            doubt = np.flatnonzero(np.abs(s - limit) < 1e-5)
+            i2, j2 = i[doubt], j[doubt]
+            ok[doubt] = np.einsum("kd,kd->k", x[i2], self.x[j2]) / (norm[i2] * self.norm[j2]) >= limit
+            yield i[ok], j[ok]
+
+    def to_bytes(self, ids: np.ndarray, copies: np.ndarray) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=ids, x=self.x, ef=self.ef, **{f"layer{i}": a.astype(np.int32) for i, a in enumerate(self.layers)})
+        np.savez(out, ids=ids, copies=copies, x=self.x, first=self.first, ef=self.ef, recall=self.recall, **{f"layer{i}": a.astype(np.int32) for i, a in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> tuple[Graph, np.ndarray]:
+    def from_bytes(cls, data: bytes) -> tuple[Graph, np.ndarray, np.ndarray]:
         z = np.load(io.BytesIO(data))
-        return cls(z["x"], [z[f"layer{i}"].astype(np.int64) for i in range(len(z.files) - 3)], int(z["ef"])), z["ids"]
+        layers = [z[f"layer{i}"].astype(np.int64) for i in range(len([k for k in z.files if k.startswith("layer")]))]
+        return cls(z["x"], z["first"], layers, int(z["ef"]), float(z["recall"])), z["ids"], z["copies"]
+
+
+def _hash(ids: np.ndarray) -> np.ndarray:
+    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
+
+
+GRAPHS = "dim int, shard long, file string, rows long, nodes long, ef long, recall double"
 
 
 def _builder(folder: str):  # noqa: ANN202
     def build(part: pd.DataFrame) -> pd.DataFrame:
         probe = part.probe.to_numpy()
         part, others = part[~probe], np.array(part.v[probe].tolist(), np.float64)
-        if not len(part):
-            return pd.DataFrame({"dim": [], "file": [], "rows": [], "ef": []}).astype({"dim": "int32", "file": str, "rows": "int64", "ef": "int64"})
-        g, ids = Graph.build(part.id.to_numpy(), np.array(part.v.tolist(), np.float64), others)
-        out = _Out(folder, "graph")
-        out.write(g.to_bytes(ids))
-        out.close()
-        return pd.DataFrame({"dim": [int(part.dim.iloc[0])], "file": [out.name], "rows": [len(ids)], "ef": [g.ef]})
+        row = []
+        if len(part):
+            ids = part.id.to_numpy()
+            g, order = Graph.build(ids, np.array(part.v.tolist(), np.float64), others)
+            by_id = np.argsort(ids)
+            copies = part.copies.to_numpy()[by_id][np.searchsorted(ids[by_id], order)]
+            out = _Out(folder, "graph")
+            out.write(g.to_bytes(order, copies))
+            out.close()
+            row = [(int(part.dim.iloc[0]), int(part.shard.iloc[0]), out.name, len(order), len(g.unit), g.ef, g.recall)]
+        return pd.DataFrame(row, columns=[x.split()[0] for x in GRAPHS.split(", ")]).astype({"dim": "int32", "shard": "int64", "file": str, "rows": "int64", "nodes": "int64", "ef": "int64", "recall": float})
 
     return build
 
 
 def _search(folder: str, files: list[tuple[int, str]], limit: float):  # noqa: ANN202
+    """From rows (id, v, dim) of a task: (id, n, null), the number of vectors linked to each, and (id, null, peer), a forest of the links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows).combine_chunks()
+        ids, dims = np.asarray(t.column(0)), np.asarray(t.column(2))
+        flat, ends = np.asarray(t.column(1).chunk(0).flatten()), np.cumsum(dims)
+        n = np.zeros(len(ids), np.int64)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         fs, path = pafs.FileSystem.from_uri(folder)
-        for b in batches:
-            if not b.num_rows:
+        for dim, file in files:
+            mine = np.flatnonzero(dims == dim)
+            if not len(mine):
                 continue
-            ids, dims = np.asarray(b.column(0)), np.asarray(b.column(2))
-            flat, ends = np.asarray(b.column(1).flatten()), np.cumsum(dims)
-            for dim, file in files:
-                mine = np.flatnonzero(dims == dim)
-                if not len(mine):
-                    continue
-                with fs.open_input_file(f"{path}/{file}") as f:
-                    g, nodes = Graph.from_bytes(f.read())
-                for k in range(0, len(mine), BLOCK):
-                    own = mine[k : k + BLOCK]
-                    x = np.stack([flat[ends[i] - dim : ends[i]] for i in own])
-                    norm = np.sqrt(np.square(x).sum(1))
-                    q, n = g.near((x / norm[:, None]).astype(np.float32), limit)
-                    exact = np.einsum("kd,kd->k", x[q], g.x[n]) / (norm[q] * g.norm[n])
-                    a, c = ids[own][q], nodes[n]
-                    ok = (exact >= limit) & (a != c)
-                    yield pa.record_batch({"a": np.minimum(a, c)[ok], "b": np.maximum(a, c)[ok]})
+            with fs.open_input_file(f"{path}/{file}") as f:
+                g, nodes, copies = Graph.from_bytes(f.read())
+            for k in range(0, len(mine), BLOCK):
+                own = mine[k : k + BLOCK]
+                x = np.stack([flat[ends[i] - dim : ends[i]] for i in own])
+                norm = np.sqrt(np.square(x).sum(1))
+                for i, j in g.links((x / norm[:, None]).astype(np.float32), x, norm, limit):
+                    other = ids[own[i]] != nodes[j]
+                    i, j = i[other], j[other]
+                    n[own] += np.bincount(i, copies[j], minlength=len(own)).astype(np.int64)
+                    a, b = stars(np.concatenate([a, ids[own[i]]]), np.concatenate([b, nodes[j]]))
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("peer", pa.int64())])
+        yield pa.record_batch([pa.array(ids), pa.array(n), pa.nulls(len(ids), pa.int64())], schema=schema)
+        yield pa.record_batch([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(b)], schema=schema)
 
     return run
 
 
+def build_graphs(groups: DataFrame, shards: int, folder: str) -> list:
+    """A row (GRAPHS) for each graph that is built in `folder` from (id, v, dim, copies), with the recall of its audit."""
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards))
+    dealt = groups.select("id", "v", "dim", "copies", shard.alias("shard"), F.lit(False).alias("probe"))
+    rates = groups.groupBy("dim").agg((F.lit(AUDIT) / F.count("*")).alias("rate"))
+    probes = groups.join(rates, "dim").filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    probes = probes.withColumn("own", shard).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    dealt = dealt.unionByName(probes.filter("shard <> own").select("id", "v", "dim", "copies", "shard", F.lit(True).alias("probe")))
+    return dealt.groupBy("dim", "shard").applyInPandas(_builder(folder), GRAPHS).collect()
+
+
+def merged(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): vec_id, sound and h1, h2 of every row; id, v, dim, copies, h1, h2, vec_id (the smallest) of every distinct sound vector.
+
+    A vector whose largest component is very large or small is scaled by it, which leaves its cosines.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    rows = rows.withColumn("sound", F.coalesce(finite & F.exists("v", lambda c: c != 0) & F.col("vec_id").isNotNull(), F.lit(False)))
+    most = F.array_max(F.transform("v", F.abs))
+    rows = rows.withColumn("v", F.when(F.col("sound"), F.when((most > 1e100) | (most < 1e-100), F.transform("v", lambda c: c / most)).otherwise(F.col("v"))))
+    rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
+    groups = rows.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    groups = groups.withColumns({"dim": F.size("v"), "id": F.xxhash64("h1", "h2")})
+    return rows.drop("v"), staged(groups, "hnsw-vectors")
+
+
 def similar_vectors(vectors: DataFrame, limit: float = SIMILAR) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    A vector that is null, empty, zero or holds a null or non-finite component links with nothing; vectors
-    of different lengths don't link. Equal vectors link with each other and are searched once. Repeated
-    rows are vectors of their own. Extra columns are ignored; an empty table gives no rows.
-    A shard has at most about SHARD_ROWS vectors, and a searching task holds one shard's graph at a time.
+    A vector that is null, empty, zero or holds a null or non-finite component, or has no vec_id, links
+    with nothing; vectors of different lengths don't link. Equal vectors link with each other and are
+    searched once. Rows that repeat a vec_id are vectors of their own. Extra columns are ignored; an
+    empty table gives no rows. A shard has at most about SHARD_ROWS vectors; a searching task holds
+    about QUERY_ROWS vectors and one shard's graph at a time.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
-    sound = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(1e150))) & F.exists("v", lambda c: F.abs(c) > 1e-150), F.lit(False))
-    rows = rows.withColumns({"sound": sound, "h1": F.xxhash64("v"), "h2": F.hash("v")})
-    good = rows.filter("sound and vec_id is not null")
-    groups = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    groups = staged(groups.withColumn("dim", F.size("v")), "hnsw-vectors")
-    total = rows.count()
-    shards = max(SHARDS, -(-groups.count() // SHARD_ROWS))
+    rows, groups = merged(vectors)
+    total, distinct = rows.count(), groups.count()
     folder = fresh_path(spark, "hnsw-graphs")
-    dealt = groups.select("id", "v", "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(False).alias("probe"))
-    rates = groups.groupBy("dim").agg((F.lit(AUDIT) / F.count("*")).alias("rate"))
-    probes = groups.join(rates, "dim").filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
-    probes = probes.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    dealt = dealt.unionByName(probes.filter("shard <> own").select("id", "v", "dim", "shard", F.lit(True).alias("probe")))
-    graphs = dealt.groupBy("dim", "shard").applyInPandas(_builder(folder), "dim int, file string, rows long, ef long").collect()
+    graphs = build_graphs(groups, max(SHARDS, -(-distinct // SHARD_ROWS)), folder)
     files = [(g["dim"], g["file"]) for g in graphs]
-    queries = groups.select("id", "v", "dim").repartition(max(2 * spark.sparkContext.defaultParallelism, shards), "id")
-    links = staged(queries.mapInArrow(_search(folder, files, limit), "a long, b long").distinct(), "hnsw-links")
-    copies = groups.select("id", "copies")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.join(copies.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    named = groups.select("h1", "h2", "id", "copies").join(degree.withColumnRenamed("a", "id"), "id", "left").join(connected_components(links), "id", "left")
-    named = named.select("h1", "h2", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    known = join_hot(good.select("vec_id", "h1", "h2"), staged(named, "hnsw-components"), ["h1", "h2"], "copies", total).select("vec_id", "n_links", "component_id")
-    rest = rows.filter("not (sound and vec_id is not null)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return known.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    queries = groups.select("id", "v", "dim").repartition(max(2 * spark.sparkContext.defaultParallelism, -(-distinct // QUERY_ROWS)), "id")
+    found = staged(queries.mapInArrow(_search(folder, files, limit), "id long, n long, peer long"), "hnsw-found")
+    links = found.filter("peer is not null").select(F.col("id").alias("a"), F.col("peer").alias("b"))
+    known = groups.select("id", "h1", "h2", "vec_id", "copies").join(found.filter("peer is null").select("id", "n"), "id")
+    known = known.join(connected_components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = staged(known, "hnsw-known")
+    least = staged(known.groupBy("component").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("k")), "hnsw-least")
+    named = join_hot(known, least, ["component"], "k", distinct)
+    named = staged(named.select("h1", "h2", "copies", (F.col("copies") - 1 + F.col("n")).alias("n_links"), "component_id"), "hnsw-components")
+    sound = join_hot(rows.filter("sound").select("vec_id", "h1", "h2"), named, ["h1", "h2"], "copies", total).select("vec_id", "n_links", "component_id")
+    rest = rows.filter("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return sound.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
