@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..kernel.dates import SHAPES
 from .stopwords import BASE
 
 #: What a document's text drops at its ends.
@@ -65,26 +66,24 @@ def stopword_filter(c: Column, exclude_numbers: bool = False, preserve_line_brea
     return trim_both(_replace(F.array_join(lines, "\n"), "\\n{3,}", "\n\n"), "\n")
 
 
-_DATE = r"^D:([0-9]{4})(?:([0-9]{2})(?:([0-9]{2})(?:([0-9]{2})(?:([0-9]{2})([0-9]{2})?)?)?)?)?(Z|[+-][0-9]{2}(?:'?[0-9]{2}'?)?)?\z"
-
-
 def pdf_date_to_iso(c: Column) -> Column:
     """A PDF date in ISO form without inventing a zone; anything that is no valid date stays as it is."""
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(c, _DATE, i)
-
-    def number(i: int, default: str) -> Column:
-        return F.when(part(i) == "", F.lit(default)).otherwise(part(i)).cast("int")
-
-    year, month, day, hour, minute, second = (number(i, d) for i, d in zip(range(1, 7), ("0", "01", "01", "00", "00", "00"), strict=True))
-    zone = part(7)
-    digits = F.rpad(F.translate(F.substring(zone, 2, 6), "'", ""), 4, "0")
-    zone_ok = (zone == "") | (zone == "Z") | ((F.substring(digits, 1, 2).cast("int") <= 23) & (F.substring(digits, 3, 2).cast("int") <= 59))
-    valid = c.rlike(_DATE) & (year >= 1) & F.expr("true") & F.try_make_timestamp_ntz(year, month, day, hour, minute, F.when(second < 60, second)).isNotNull()
-    shown = F.when(zone == "", "").when(zone == "Z", "+00:00").otherwise(F.concat(F.substring(zone, 1, 1), F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2)))
-    iso = F.concat(F.format_string("%04d-%02d-%02dT%02d:%02d:%02d", year, month, day, hour, minute, second), shown)
-    return F.when(valid & zone_ok, iso).otherwise(c)
+    shapes = F.create_map(*[x for shape, n in SHAPES.items() for x in (F.lit(shape), F.lit(n))])
+    n = F.try_element_at(shapes, F.translate(c, "0123456789", "9" * 10))
+    digits = F.concat(F.substring(c, F.lit(3), n), F.substring(F.lit("00000101000000"), n + 1, F.lit(14)))
+    zone = F.translate(F.substring(c, n + 3, F.lit(7)), "'", "")
+
+    def part(at: int, size: int = 2) -> Column:
+        return F.substring(digits, at, size)
+
+    fields = [(1, 4), (5, 2), (7, 2), (9, 2), (11, 2), (13, 2)]
+    year, month, day, hour, minute, second = (part(*x).cast("int") for x in fields)
+    real = F.try_make_timestamp_ntz(year, month, day, hour, minute, F.when(second < 60, second)).isNotNull() & (year >= 1)
+    minutes = F.rpad(F.substring(zone, 4, 2), 2, "0")
+    near = (F.length(zone) < 2) | ((F.substring(zone, 2, 2) <= "23") & (minutes <= "59"))
+    shown = F.when(zone == "", "").when(zone == "Z", "+00:00").otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), minutes))
+    iso = F.concat(part(1, 4), *[x for mark, f in zip("--T::", fields[1:], strict=True) for x in (F.lit(mark), part(*f))], shown)
+    return F.when(n.isNotNull() & real & near, iso).otherwise(c)
 
 
 def is_pdf(content: Column) -> Column:
