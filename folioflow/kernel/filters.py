@@ -96,46 +96,44 @@ def lzw(data: bytes, early: int = 1, options: Options = DEFAULTS, most: int | No
     return None if found is None else found[0]
 
 
+def _codes(data: bytes, bit: int, width: int, n: int) -> list[int]:
+    """n codes of one width from a place in bits on."""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, -(-(bit % 8 + n * width) // 8), bit // 8))
+    return (bits[bit % 8 : bit % 8 + n * width].reshape(n, width) @ (1 << np.arange(width - 1, -1, -1))).tolist()
+
+
 def lzw_span(data: bytes, early: int = 1, options: Options = DEFAULTS, most: int | None = None) -> tuple[bytes, int | None] | None:
-    """The decoded bytes and where the end-of-data code ends (None without one)."""
-    table = [bytes([i]) for i in range(256)] + [b"", b""]
-    out: list[bytes] = []
-    size = bits = held = 0
-    width, before = 9, None
-    for at, byte in enumerate(data):
-        held = (held << 8 | byte) & 0xFFFFFF
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits & (1 << width) - 1
-        if code == EOD:
-            return b"".join(out), at + 1
-        if code == CLEAR:
-            del table[258:]
-            width, before = 9, None
-            continue
-        if before is None:
-            if code > 255:
+    """The decoded bytes and where the end-of-data code ends (None without one). Codes are cut out together as long as their width stays."""
+    data = bytes(data)
+    fresh = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, out = list(fresh), []
+    size = bit = 0
+    width, before = 9, b""
+    allowed = options.maxStreamBytes if most is None else min(most, options.maxStreamBytes)
+    while n := min((len(data) * 8 - bit) // width, max(1, (1 << width) - early - len(table)) if width < 12 else 4096):
+        for code in _codes(data, bit, width, n):
+            bit += width
+            if code == EOD:
+                return b"".join(out), -(-bit // 8)
+            if code == CLEAR:
+                table, width, before = list(fresh), 9, b""
+                break
+            if code < len(table) and (before or code < 256):
+                entry = table[code]
+            elif before and code == len(table) < 4096:
+                entry = before + before[:1]
+            else:
                 return None
-            entry = table[code]
-        elif code < len(table):
-            entry = table[code]
-        elif code == len(table) and code < 4096:
-            entry = before + before[:1]
-        else:
-            return None
-        out.append(entry)
-        size += len(entry)
-        if size > options.maxStreamBytes:
-            raise limit("LZW stream exceeds maxStreamBytes.")
-        if most is not None and size > most:
-            raise limit("LZW stream exceeds maxDecodedBytesTotal.")
-        if before is not None and len(table) < 4096:
-            table.append(before + entry[:1])
-        before = entry
-        while width < 12 and len(table) + early >= 1 << width:
-            width += 1
+            out.append(entry)
+            size += len(entry)
+            if size > allowed:
+                raise limit("LZW stream exceeds maxStreamBytes." if size > options.maxStreamBytes else "LZW stream exceeds maxDecodedBytesTotal.")
+            if before and len(table) < 4096:
+                table.append(before + entry[:1])
+            before = entry
+            if width < 12 and len(table) + early >= 1 << width:
+                width += 1
+                break
     return b"".join(out), None
 
 
