@@ -17,8 +17,9 @@ from ..functions.text import document_text, normalize_text
 from ..kernel.document import Store
 from ..kernel.lexer import ContentLexer
 from ..kernel.limits import COUNTERS, READ_FAILED, Budget, Options, PdfError
-from ..kernel.reader import Reader, check_range
+from ..kernel.reader import BROKEN, Reader, check_range, error_of
 
+ERROR = "error struct<code: int, message: string>"
 PAGE = "page_number int, object_id int, text string"
 METRICS = ", ".join([f"{n}: bigint" for n in COUNTERS] + ["streaming_path: boolean", "recovery_path: boolean", "first_page_ms: double", "duration_ms: double", "peak_memory_bytes: bigint"])
 DOCUMENT = (
@@ -102,8 +103,11 @@ def with_text(docs: DataFrame, first_pages: int | None = None) -> DataFrame:
     return docs.withColumn("text", document_text(F.col("pages"), first_pages))
 
 
-def pages(df: DataFrame, content: str = "content", first: int = 1, last: int | None = None, password: str | None = None, options: dict | None = None, mode: str = "PERMISSIVE", keep: list[str] | None = None) -> DataFrame:
-    """One row a page, read one by one: pages before an error stay (FAILFAST raises it)."""
+def pages(df: DataFrame, content: str = "content", first: int = 1, last: int | None = None, password: str | None = None, options: dict | None = None, mode: str = "PERMISSIVE", keep: list[str] | None = None, errors: bool = False) -> DataFrame:
+    """One row a page, read one by one: pages before an error stay (FAILFAST raises it).
+
+    errors: a column error (code, message) is added, null beside a page; a document that fails has a row with it and no page.
+    """
     limits = Options.of(options)
     check_range(first, last, limits)
     src, names = _keep(df, content, password, keep)
@@ -111,12 +115,15 @@ def pages(df: DataFrame, content: str = "content", first: int = 1, last: int | N
     def each(data: bytes, secret: bytes) -> Iterator[dict]:
         try:
             for p in Reader(data, first, last, secret, limits).pages():
-                yield vars(p)
-        except (PdfError, RecursionError, ValueError, OverflowError, IndexError, TypeError, KeyError):
+                yield vars(p) | {"error": None}
+        except BROKEN as e:
             if mode.upper() == "FAILFAST":
                 raise
+            if errors:
+                yield {"page_number": None, "object_id": None, "text": None, "error": dict(zip(("code", "message"), error_of(e), strict=True))}
 
-    return _run(src, names, PAGE, each, limits).withColumn("text", normalize_text(F.col("text")))
+    found = _run(src, names, PAGE + (f", {ERROR}" if errors else ""), each, limits)
+    return found.withColumn("text", normalize_text(F.col("text")))
 
 
 def _kind(x: object) -> str:

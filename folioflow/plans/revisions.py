@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import fresh_folder
+
 
 def latest_revision(log: DataFrame, keys: list[str], order: str, deleted: str) -> DataFrame:
     """The newest row of each key, unless it is a deletion. `order` grows with time.
@@ -26,14 +28,26 @@ def next_boundary(offsets: DataFrame, key: str, offset: str, end: str | None = N
     return rows.select(key, offset, (F.coalesce(after, F.col("_end")) if end else after).alias("next_offset"))
 
 
-def page_order(spark: SparkSession, nodes: str, roots: str) -> DataFrame:
-    """Pages of each tree in order. `nodes`: a view (tree, id, parent, position, is_page); `roots`: (tree, id). A path to a page is the sort key."""
-    return spark.sql(f"""
-        WITH RECURSIVE walk(tree, id, path, is_page) AS (
-          SELECT r.tree, r.id, '', false FROM {roots} r
-          UNION ALL
-          SELECT n.tree, n.id, concat(w.path, lpad(cast(n.position AS string), 8, '0')), n.is_page
-          FROM walk w JOIN {nodes} n ON n.tree = w.tree AND n.parent = w.id
-        )
-        SELECT tree, id, CAST(row_number() OVER (PARTITION BY tree ORDER BY path) AS INT) AS page_number FROM walk WHERE is_page
-    """)  # noqa: S608
+def page_order(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """tree, id, page_number of the pages of each tree in order. nodes: (tree, id, parent, position, is_page); roots: (tree, id).
+
+    A level of all trees at a time, written to the shared folder, so that neither the number of rows nor a tree's depth
+    has a limit but the storage. The path to a page, its positions from the root down, is the sort key.
+    """
+    spark, found = nodes.sparkSession, []
+    below = nodes.select("tree", F.col("id").alias("next"), F.col("parent").alias("id"), "position", "is_page")
+    level = roots.select("tree", "id", F.array().cast("array<bigint>").alias("path"), F.lit(False).alias("is_page"))
+    while True:
+        level = level.filter(~F.col("is_page")).join(below.withColumnRenamed("is_page", "leaf"), ["tree", "id"])
+        level = level.select("tree", F.col("next").alias("id"), F.array_append("path", F.col("position").cast("bigint")).alias("path"), F.col("leaf").alias("is_page"))
+        path = fresh_folder(spark, "page-level")
+        level.write.parquet(path)
+        level = spark.read.schema(level.schema).parquet(path)
+        if level.isEmpty():
+            break
+        found.append(level.filter("is_page"))
+    rows = found[0] if found else level
+    for x in found[1:]:
+        rows = rows.unionByName(x)
+    number = F.row_number().over(Window.partitionBy("tree").orderBy("path"))
+    return rows.select("tree", "id", number.cast("int").alias("page_number"))

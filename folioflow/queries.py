@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import decoders, text
 from .functions.stopwords import BASE
+from .kernel import fonts
 from .operators import relations
 from .plans import revisions
 from .sources import pdf, sinks
@@ -303,6 +304,106 @@ _round_trip("recovery", lambda r: writer.classic(_pages(_content(r)), xref=False
 _round_trip("orphan_pages", _orphan)
 _round_trip("filter_pipeline", _filtered)
 
+# The other filters and malformed cases of inline images, encodings, maps, names, states, limits
+
+
+def _image(head: bytes, data: bytes) -> Callable[[dict], bytes]:
+    """The text, an inline image and a last word that is only read where the image's end is certain."""
+
+    def build(r: dict) -> bytes:
+        return writer.classic(_pages(_content(r) + b" BI /W 4 /H 4 " + head + b" ID " + data + b" EI BT /F1 9 Tf (after) Tj ET"))
+
+    return build
+
+
+SAMPLES = b"EI (x) Tj ET " * 20
+JPEG = b"\xff\xd8\xff\xe0\x00\x06EI (\xff\xda\x00\x02" + b"EI \xff\x00 \xff\xd3 > ~> EI"
+AFTER = f"SELECT doc_id, trim(text || chr(10) || 'after', ' ' || chr(10)) AS text FROM ({NORMAL_DOCS})"
+for _name, _head, _data in (
+    ("inline_jpeg", b"/F /DCT", JPEG + b"\xff\xd9"),
+    ("inline_flate", b"/Filter /FlateDecode", zlib.compress(SAMPLES)),
+    ("inline_lzw", b"/F [/LZW]", writer.lzw_encode(SAMPLES)),
+    ("inline_run_length", b"/F /RL", writer.run_length_encode(SAMPLES)),
+    ("inline_ascii_hex", b"/F /AHx", writer.hex_encode(SAMPLES)),
+    ("inline_ascii85", b"/F /A85", writer.ascii85_encode(SAMPLES)),
+    ("inline_mask", b"/IM true", b"EI (\n"),
+):
+    _round_trip(_name, _image(_head, _data), AFTER)
+for _name, _data in (("inline_jpeg_short_segment", b"\xff\xd8\xff\xe0\x00\x01 \xff\xd9"), ("inline_jpeg_second_start", b"\xff\xd8 \xff\xd8 \xff\xd9"), ("inline_jpeg_long_segment", b"\xff\xd8\xff\xe0\xff\xf0 \xff\xd9")):
+    _round_trip(_name, _image(b"/F /DCT", _data))
+
+
+def _coded(name: str, font: bytes, table: list[str]) -> None:
+    """The ASCII codes of the texts in a font that means something else by them."""
+    own = [(chr(i), c) for i, c in enumerate(table) if 0x20 <= i < 0x7F and c != chr(i)]
+    ascii_only = "regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')"
+    plain, shown = ("".join(x[k] for x in own).replace("'", "''") for k in (0, 1))
+
+    def build(r: dict) -> bytes:
+        rows = [writer.literal(bytes(ord(c) if c < "\x80" else 63 for c in x)) for x in r["text"].split("\n")]
+        return writer.classic(_pages(_join(rows, b" T* "), font=b"<< /Type /Font /Subtype /Type1 %s >>" % font))
+
+    _round_trip(name, build, f"SELECT doc_id, {sql_normal(f"translate({ascii_only}, '{plain}', '{shown}')")} AS text FROM documents")
+
+
+_coded("standard_encoding", b"/BaseFont /X", fonts.STANDARD)
+_coded("symbol_encoding", b"/BaseFont /Symbol", fonts.SYMBOL)
+_coded("dingbats_encoding", b"/BaseFont /ZapfDingbats", fonts.DINGBATS)
+
+
+def _ranged(r: dict) -> bytes:
+    """Two-byte codes that are the letters' own points, in a map of ranges: one counted up, one a list."""
+    rows = [b"<" + x.encode("utf-16-be").hex().encode() + b"> Tj" for x in r["text"].split("\n")]
+    cmap = b"begincmap 2 beginbfrange <0020> <006F> <0020> <0070> <0072> [<0070> <0071> <0072>] endbfrange 1 beginbfrange <0073> <FFFF> <0073> endbfrange"
+    objects = _pages(b"BT /F1 9 Tf " + b" T* ".join(rows) + b" ET", font=b"<< /Type /Font /Subtype /Type0 /BaseFont /X /Encoding /Identity-H /ToUnicode 93 0 R >>")
+    objects[93] = writer.stream(cmap)
+    return writer.classic(objects)
+
+
+def _indirect_length(r: dict) -> bytes:
+    objects = _pages(b"95 0 R")
+    data = _content(r)
+    objects[95] = b"<< /Length 96 0 R >>\nstream\n" + data + b"\nendstream"
+    objects[96] = b"%d" % len(data)
+    return writer.classic(objects)
+
+
+def _hex_names(r: dict) -> bytes:
+    return writer.classic({i: x.replace(b"/Contents", b"/Con#74ents") if isinstance(x, bytes) else x for i, x in _pages(_content(r)).items()})
+
+
+def _states(r: dict) -> bytes:
+    """q and Q around a font that isn't there, so its state would show."""
+    return writer.classic(_pages(b"BT /F1 9 Tf q /Nope 9 Tf Q " + _content(r)[len(b"BT /F1 9 Tf ") :]))
+
+
+def _operands(r: dict) -> bytes:
+    """More operands than are kept, before the text."""
+    return writer.classic(_pages(b"0 " * 1500 + b"re " + _content(r)))
+
+
+_round_trip("bfrange", _ranged)
+_round_trip("indirect_length", _indirect_length)
+_round_trip("hex_names", _hex_names)
+_round_trip("saved_states", _states)
+_round_trip("many_operands", _operands)
+
+
+def _limited(name: str, option: str, most: int, message: str) -> None:
+    """A limit that every text meets, or none does."""
+    code = 7
+
+    @query(f"SELECT doc_id, CAST({code} AS INT) AS code, '{message}' AS message FROM documents", name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = with_pdf(texts(spark, sf_dir), lambda r: writer.classic(_pages(_content(r))))
+        found = relations.documents(made, keep=["doc_id"], options={option: most})
+        return found.select("doc_id", "error.code", "error.message")
+
+
+_limited("limit_input", "maxInputBytes", 100, "PDF input exceeds maxInputBytes.")
+_limited("limit_operators", "maxContentOperators", 1, "Content operators exceed maxContentOperators.")
+
+
 # Several pages
 
 
@@ -327,6 +428,20 @@ def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.documents(_conversation_files(spark, sf_dir), keep=["conv_id"]).select("conv_id", "page_count")
 
 
+@query(f"SELECT conv_id, page_number, text, CAST(NULL AS INT) AS code FROM ({PAGE_ROWS}) WHERE conv_id % 3 <> 0 UNION ALL SELECT DISTINCT conv_id, NULL, NULL, 2 FROM conversations WHERE conv_id % 3 = 0")
+def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without a PDF header among others: a row that says so in place of pages."""
+    made = with_pdf(turns(spark, sf_dir), lambda r: _conversation_pdf(r)[r["conv_id"] % 3 == 0 :])
+    found = relations.pages(made, keep=["conv_id"], errors=True)
+    return found.select("conv_id", "page_number", "text", "error.code")
+
+
+@query(f"{PAGE_ROWS} WHERE turn BETWEEN 1 AND 2")
+def page_range_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = with_pdf(turns(spark, sf_dir), lambda r: writer.classic(_pages(*(writer.lines_content(p["text"]) for p in r["pages"])), xref=False))
+    return relations.pages(made, first=2, last=3, keep=["conv_id"]).drop("object_id")
+
+
 @query(PAGE_ROWS)
 def pages_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     relations.register(spark)
@@ -403,6 +518,17 @@ def info_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.documents(made, keep=["doc_id"]).select("doc_id", d["Title"].alias("title"), d["Author"].alias("author"), d["CreationDate"].alias("created"), d["Subject"].alias("subject"))
 
 
+@query("SELECT doc_id, '•™€ﬁ' || source AS title FROM documents")
+def info_pdf_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A title in the single-byte encoding of document strings."""
+
+    def build(r: dict) -> bytes:
+        return writer.classic(writer.page_objects([b""], info=b"<< /Title %s >>" % writer.literal(b"\x80\x92\xa0\x93" + r["source"].encode())), b"/Info 4 0 R")
+
+    made = with_pdf(table(spark, sf_dir, "documents").select("doc_id", "source"), build)
+    return relations.documents(made, keep=["doc_id"]).select("doc_id", F.col("details")["Title"].alias("title"))
+
+
 def _hex_page(r: dict) -> bytes:
     return writer.classic(_pages(b"BT /F1 9 Tf <" + r["text"].encode("cp1252", "replace").hex().encode() + b"> Tj ET"))
 
@@ -468,11 +594,13 @@ UNION ALL SELECT n_regionkey, CAST(100000 + c_custkey AS BIGINT), CAST(1000 + n_
     "SELECT tree, id, CAST(row_number() OVER (PARTITION BY tree ORDER BY path) AS INT) AS page_number FROM walk WHERE is_page"
 )
 def page_tree_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name in ("nation", "customer", "region"):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"_{name}")
-    spark.sql(_TREE.replace("FROM nation", "FROM _nation").replace("FROM customer JOIN nation", "FROM _customer JOIN _nation")).createOrReplaceTempView("_nodes")
-    spark.sql("SELECT CAST(r_regionkey AS BIGINT) AS tree, CAST(r_regionkey AS BIGINT) AS id FROM _region").createOrReplaceTempView("_roots")
-    return revisions.page_order(spark, "_nodes", "_roots")
+    nation, customer, region = (table(spark, sf_dir, name) for name in ("nation", "customer", "region"))
+    row = lambda i, parent, position, leaf: [F.col("n_regionkey").cast("long").alias("tree"), i.cast("long").alias("id"), parent.cast("long").alias("parent"), position.cast("long").alias("position"), F.lit(leaf).alias("is_page")]
+    box = F.col("n_nationkey") + 1000
+    nodes = nation.select(*row(box, F.col("n_regionkey"), F.col("n_nationkey"), False))
+    leaves = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(*row(F.col("c_custkey") + 100000, box, F.col("c_custkey"), True))
+    key = F.col("r_regionkey").cast("long")
+    return revisions.page_order(nodes.unionByName(leaves), region.select(key.alias("tree"), key.alias("id")))
 
 
 # Files: source, stream, sinks
@@ -491,7 +619,15 @@ def _named(rows: DataFrame) -> DataFrame:
 @query(PAGE_ROWS)
 def pdf_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     pdf.register(spark)
-    return _named(spark.read.format("pdf").load(_written(spark, sf_dir)))
+    return _named(spark.read.format("pdf").load(_written(spark, sf_dir)).filter("error is null"))
+
+
+@query("SELECT conv_id, CAST(7 AS INT) AS code FROM conversations GROUP BY conv_id")
+def pdf_source_too_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit below every file's size, which is known before a file is read."""
+    pdf.register(spark)
+    rows = spark.read.format("pdf").option("maxInputBytes", 100).load(_written(spark, sf_dir))
+    return rows.select(F.regexp_extract("path", r"(-?\d+)\.pdf$", 1).cast("long").alias("conv_id"), "error.code")
 
 
 @query(PAGE_ROWS)
@@ -539,11 +675,10 @@ FLAGSHIP_SQL = f"SELECT conv_id, string_agg(t, ' ' ORDER BY turn) AS keywords, c
 
 @query(FLAGSHIP_SQL)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan, pages, keyword filter, joined in page order."""
-    rows = relations.pages(_conversation_files(spark, sf_dir), keep=["conv_id"])
-    rows = rows.select("conv_id", "page_number", text.stopword_filter(F.col("text")).alias("t")).filter("t <> ''")
-    listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "t"))).alias("ps"))
-    return listed.select("conv_id", F.array_join(F.transform("ps", lambda p: p["t"]), " ").alias("keywords"), F.size("ps").cast("long").alias("n_pages"))
+    """Scan, pages, keyword filter, joined in page order: a document's row carries its pages, so nothing is shuffled after the scan."""
+    found = relations.documents(_conversation_files(spark, sf_dir), keep=["conv_id"])
+    pages = F.filter(F.transform("pages", lambda p: text.stopword_filter(p["text"])), lambda t: t != "")
+    return found.select("conv_id", pages.alias("ts")).filter(F.size("ts") > 0).select("conv_id", F.array_join("ts", " ").alias("keywords"), F.size("ts").cast("long").alias("n_pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

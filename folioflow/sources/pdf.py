@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import is_pdf
-from ..kernel.limits import Options, PdfError
-from ..kernel.reader import Reader, check_range
+from ..kernel.limits import Options, limit
+from ..kernel.reader import BROKEN, Reader, check_range, error_of
+from ..operators.relations import ERROR, PAGE
 
 MIB = 1 << 20
 
 
 class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files = files
 
 
 class PdfReader(DataSourceReader):
@@ -45,7 +46,7 @@ class PdfReader(DataSourceReader):
         found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
         out, own, size = [], [], 0
         for f in sorted((f for f in found if f.type == pafs.FileType.File and f.path.lower().endswith(".pdf")), key=lambda f: f.path):
-            own.append(f.path)
+            own.append((f.path, f.size))
             size += f.size
             if size >= self.bytes:
                 out.append(Files(own))
@@ -58,26 +59,32 @@ class PdfReader(DataSourceReader):
         if self.last is not None and self.last < self.first:
             return
         fs = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path else pafs.LocalFileSystem()
-        for path in partition.paths:
-            with fs.open_input_file(path) as f:
-                data = f.read()
+        for path, size in partition.files:
             try:
-                for p in Reader(data, self.first, self.last, self.password, self.options).pages():
-                    yield path, p.page_number, p.object_id, p.text
-            except PdfError:
+                if size > self.options.maxInputBytes:
+                    raise limit("PDF input exceeds maxInputBytes.")
+                with fs.open_input_file(path) as f:
+                    data = f.read()
+                for p in Reader(data, self.first, self.last, self.password, self.options, size > self.options.streamingThreshold).pages():
+                    yield path, p.page_number, p.object_id, p.text, None
+            except BROKEN as e:
                 if self.mode == "FAILFAST":
                     raise
+                yield path, None, None, None, error_of(e)
 
 
 class PdfSource(DataSource):
-    """Options: path, firstPage, lastPage, password, mode, partitionBytes, and the limits by their names. Texts are raw; normalize_text makes them readable."""
+    """Options: path, firstPage, lastPage, password, mode, partitionBytes, and the limits by their names. Texts are raw; normalize_text makes them readable.
+
+    A file that fails has a row without a page that holds the error (mode FAILFAST: raises it). One over maxInputBytes is not read.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "pdf"
 
     def schema(self) -> str:
-        return "path string, page_number int, object_id int, text string"
+        return f"path string, {PAGE}, {ERROR}"
 
     def reader(self, schema) -> PdfReader:  # noqa: ANN001
         return PdfReader(self.options)

@@ -1,4 +1,4 @@
-"""Folders for intermediate files: inside spark.checkpoint.dir, or one of our own where the session names none."""
+"""Folders for intermediate files: inside spark.checkpoint.dir, or one of our own on a single machine whose session names none."""
 
 from __future__ import annotations
 
@@ -12,12 +12,19 @@ from pyspark.sql import SparkSession
 _own: dict[str, str] = {}
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """URI of the folder that all executors and the driver share. A cluster has to name it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="folioflow-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         base = "file://" + _own[app]
-    return f"{base.rstrip('/')}/folioflow/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/") + "/folioflow"
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of input that keep one core busy long enough; tables with fewer a core are dealt anew.
+WORTH = 16 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows that cost much each, dealt over all cores where there are fewer partitions than cores; a large table stays as it is."""
+    """Rows that cost much each, dealt over all cores where the table is small: its partitions then follow its few files
+    and row groups, and some hold nothing. A large table stays as it is."""
     n = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(4 * n) if size < 4 * n * WORTH else rows
 
 
 def with_pdf(rows: DataFrame, build: Callable[[dict], bytes]) -> DataFrame:

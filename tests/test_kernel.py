@@ -306,3 +306,53 @@ def test_reference_chains():
     objects[2] = objects[2].replace(b"/Resources << /Font << /F1 3 0 R >> >>", b"/Resources 70 0 R")
     objects[70], objects[71] = b"71 0 R", b"70 0 R"
     assert parse_content(w.classic(objects)).pages[0].text == "x"
+
+
+@pytest.mark.parametrize(
+    "segments, found",
+    [
+        (b"\xff\xe0\x00\x04EI\xff\xda\x00\x02x\xff\x00y\xff\xd0z\xff\xff\xff\xd9", True),
+        (b"\xff\x01\xff\xd7\xff\xd9", True),
+        (b"\xff\xe0\x00\x01\xff\xd9", False),  # a segment is at least its own length field
+        (b"\xff\xe0\x00\x00\xff\xd9", False),
+        (b"\xff\xd8\xff\xd9", False),  # a second image
+        (b"\xff\xe0\xff\xff\xff\xd9", False),  # a segment beyond the data
+        (b"no marker", False),
+        (b"\xff", False),
+        (b"\xff\xe0", False),
+    ],
+)
+def test_inline_jpeg_ends(segments, found):
+    page = b"BT (a) Tj ET BI /F /DCT ID \xff\xd8" + segments + b" EI BT (b) Tj ET"
+    d = parse_content(w.classic(w.page_objects([page])))
+    assert d.pages[0].text.split() == (["a", "b"] if found else ["a"])
+    assert [x for x in d.warnings if "inline image" in x] == ([] if found else ["Unsupported or malformed inline image; remaining content stream skipped."])
+
+
+@pytest.mark.parametrize(
+    "head, warning",
+    [
+        (b"/F /JBIG2 ID x", "Unsupported"),
+        (b"/W 2 /H 2 /BPC 3 /CS /G ID xx", "Unsupported"),
+        (b"/W 2 /H 2 /BPC 8 /CS /Indexed ID xxxx", "Unsupported"),
+        (b"/W 2 /H 2 /BPC 8 /CS /G ID xx", "Unsupported"),
+        (b"1 2 ID x", "Malformed"),
+        (b"/K 1 " * 65 + b"ID x", "Malformed"),
+        (b"/W 2.0 /H 2 /BPC 8 /CS /G ID xxxx", None),
+        (b"/Width 9 /H 2 /IM true ID xxxx", None),
+        (b"/F [] /W 1 /H 1 /BPC 16 /CS /CMYK ID xxxxxxxx", None),
+    ],
+)
+def test_inline_images_of_other_kinds(head, warning):
+    d = parse_content(w.classic(w.page_objects([b"BT (a) Tj ET BI " + head + b" EI BT (b) Tj ET"])))
+    assert d.pages[0].text.split() == (["a"] if warning else ["a", "b"])
+    assert [x.split()[0] for x in d.warnings] == ([warning] if warning else [])
+
+
+def test_dates_of_every_shape():
+    zones = {"": "", "Z": "+00:00", "+05": "+05:00", "-0530": "-05:30", "+05'30": "+05:30", "+0530'": "+05:30", "+05'30'": "+05:30"}
+    for n, shown in ((4, "2024-01-01T00:00:00"), (6, "2024-02-01T00:00:00"), (8, "2024-02-29T00:00:00"), (10, "2024-02-29T13:00:00"), (12, "2024-02-29T13:14:00"), (14, "2024-02-29T13:14:15")):
+        for zone, iso in zones.items():
+            assert iso_date("D:" + "20240229131415"[:n] + zone) == shown + iso
+    for bad in ("D:20230229", "D:0000", "D:20240229131460", "D:2024022924", "D:2024+24", "D:2024+0560", "D:2024+05'", "D:202", "2024", "D:2024z", "D:2024 ", "D:२०२४", "D:20241301"):
+        assert iso_date(bad) == bad

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from folioflow import queries
 from folioflow.functions import decoders, text
 from folioflow.functions.stopwords import read_words
+from folioflow.kernel.reader import iso_date
 from folioflow.operators import relations
-from folioflow.sources import pdf
+from folioflow.plans import revisions
+from folioflow.sources import pdf, scratch
 from folioflow.synth import writer
 
 duckdb = pytest.importorskip("duckdb")
@@ -99,6 +101,57 @@ def test_source_takes_page_bounds(spark, tmp_path):
         spark.read.format("pdf").option("firstPage", 0).load(str(tmp_path)).collect()
 
 
+def test_source_reports_errors_and_reads_no_file_over_the_limit(spark, tmp_path):
+    pdf.register(spark)
+    (tmp_path / "a.pdf").write_bytes(writer.classic(writer.page_objects([b"BT (1) Tj ET"])))
+    (tmp_path / "b.pdf").write_bytes(b"no pdf")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4" + b" " * 5000)
+    rows = spark.read.format("pdf").option("maxInputBytes", 4000).load(str(tmp_path)).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.page_number, r.error and r.error.message) for r in rows} == {("a.pdf", 1, None), ("b.pdf", None, "Invalid PDF header."), ("c.pdf", None, "PDF input exceeds maxInputBytes.")}
+    with pytest.raises(Exception, match="maxInputBytes"):
+        spark.read.format("pdf").option("maxInputBytes", 4000).option("mode", "FAILFAST").load(str(tmp_path)).collect()
+
+
+def test_pages_with_errors(spark):
+    rows = spark.createDataFrame([(1, bytearray(writer.classic(writer.page_objects([b"BT (x) Tj ET"])))), (2, bytearray(b"junk"))], "id int, content binary")
+    got = [(r.id, r.page_number, r.error and r.error.code) for r in relations.pages(rows, errors=True).collect()]
+    assert got == [(1, 1, None), (2, None, 2)]
+    assert relations.pages(rows).columns == ["id", "page_number", "object_id", "text"]
+
+
+def test_dates_in_columns_are_those_of_documents(spark):
+    zones = ["", "Z", "+05", "-0530", "+05'30", "+0530'", "+05'30'", "+05'", "+24", "+0560"]
+    days = ["2024", "202402", "20240229", "2024022913", "202402291314", "20240229131415", "20240229131460", "20230229", "0000", "202"]
+    cases = ["D:" + d + z for d in days for z in zones] + ["", "D:", "2024", "D:२०२४", None]
+    rows = spark.createDataFrame([(c,) for c in cases], "d string").select("d", text.pdf_date_to_iso(F.col("d")).alias("iso"))
+    assert all(r.iso == (None if r.d is None else iso_date(r.d)) for r in rows.collect())
+
+
+def test_page_order_of_deep_and_empty_trees(spark):
+    nodes = [("t", i + 1, i, 5, False) for i in range(12)] + [("t", 100 + i, 12, 10**9 - i, True) for i in range(3)] + [("t", 200, 3, 4, True)]
+    df = spark.createDataFrame(nodes, "tree string, id long, parent long, position long, is_page boolean")
+    roots = spark.createDataFrame([("t", 0), ("u", 0)], "tree string, id long")
+    assert [(r.id, r.page_number) for r in revisions.page_order(df, roots).orderBy("page_number").collect()] == [(200, 1), (102, 2), (101, 3), (100, 4)]
+    assert revisions.page_order(df.limit(0), roots).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf(dict):
+        pass
+
+    class Context:
+        master, applicationId = "yarn", "a"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Session())
+
+
 def test_sizes():
     assert [pdf.byte_size(x) for x in ("512M", "1k", "7", "-1", "x", None, "9" * 30 + "G")] == [512 << 20, 1024, 7, None, None, None, 2**63 - 1]
 
