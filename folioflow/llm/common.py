@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,26 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """URI of a folder for tables that cut lineage, inside spark.checkpoint.dir.
-
-    Only where the session names no such folder (tests, a single machine) is one made here.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = tempfile.mkdtemp(prefix="folioflow-")
-            atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-        base = "file://" + _own_dirs[app]
-    return base.rstrip("/") + "/folioflow"
-
+from ..sources.scratch import fresh_folder, shared_folder
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return fresh_folder(spark, f"llm/{name}")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +26,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every scratch table. Results not yet written must not be used afterwards."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark) + "/llm")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -16,7 +16,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, connected_components, content_key, join_hot, staged
@@ -32,8 +32,9 @@ SMALL = 256
 CHUNK = 20_000
 #: Members on either side of a block, about, of a bucket that is compared in full.
 BLOCK = 4096
-#: Pairs that a member hands over in a round of full comparison; where it has more, another round takes GROWTH times as many.
-FIRST, GROWTH = 8, 8
+#: Pairs that a member hands over from a bucket that is compared in full; where it has more, the bucket's members are verified in blocks of about so many cells.
+FIRST = 8
+BLOCK_CELLS = 1 << 20
 BATCH_WORDS = 200_000
 CACHED_WORDS = 400_000
 
@@ -277,40 +278,82 @@ def _blocks(most: int):  # noqa: ANN202
             a, b, at = [*a, None], [*b, None], [*at, t.column(0)[0].as_py()]
         return pa.record_batch([pa.array(x, pa.int64()) for x in (a, b, at)], ["a", "b", "bucket"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, key = [], None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = np.stack([np.asarray(b.column(i)) for i in range(3)], 1)
-            starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)].tolist()
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                if rows and tuple(keys[s]) != key:
-                    yield block(rows)
-                    rows = []
-                key = tuple(keys[s])
-                rows.append(b.slice(s, e - s))
-        if rows:
-            yield block(rows)
-
-    return run
+    return lambda batches: _by_block(batches, block)
 
 
-def _open_pairs(members: DataFrame, texts: DataFrame, component: DataFrame, total: int, most: int) -> DataFrame:
-    """a, b, bucket, as of _blocks, from buckets whose members (bucket, id, n) are of several classes so far: all outside a bucket's largest class ask all of the bucket."""
-    named = members.join(component, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    named = staged(named, "dart-named")
-    own = named.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-    own = own.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("n")).filter("main.k < n")
-    own = own.select("bucket", "n", F.col("main.c").alias("main"), F.ceil((F.col("n") - F.col("main.k")) / BLOCK).alias("asking"), F.ceil(F.col("n") / BLOCK).alias("asked"))
-    rows = join_hot(named, staged(own, "dart-open"), ["bucket"], "n", max(total, 1) * BANDS).join(texts.select("id", "sketch"), "id")
-    rows = staged(rows, "dart-asking")
+def _named(members: DataFrame, component: DataFrame) -> DataFrame:
+    """bucket, id, c: the members' classes so far."""
+    return staged(members.join(component, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "dart-named")
+
+
+def _laid(rows: DataFrame, sort: str) -> DataFrame:
+    """`rows` (bucket, id, c, main, asking, asked, ...) in blocks: all outside a bucket's main class ask all of the bucket."""
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("long")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    ask = rows.filter("c <> main").select("bucket", part("asking").alias("i"), each("asked").alias("j"), F.lit(True).alias("asks"), "id", "c", "sketch")
-    answer = rows.select("bucket", each("asking").alias("i"), part("asked").alias("j"), F.lit(False).alias("asks"), "id", "c", "sketch")
-    laid = ask.unionByName(answer).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.xxhash64("id"))
-    return staged(laid.mapInArrow(_blocks(most), "a long, b long, bucket long"), "dart-found")
+    ask = rows.filter("c <> main").select("bucket", part("asking").alias("i"), each("asked").alias("j"), F.lit(True).alias("asks"), "id", "c", sort)
+    answer = rows.select("bucket", each("asking").alias("i"), part("asked").alias("j"), F.lit(False).alias("asks"), "id", "c", sort)
+    return ask.unionByName(answer).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.xxhash64("id"))
+
+
+def _open(named: DataFrame, weight: Column, block: int) -> DataFrame:
+    """bucket, n, main, asking, asked: buckets whose members are of several classes, their largest class, and the blocks that the others and all make."""
+    own = named.groupBy("bucket", "c").agg(F.count("*").alias("k"), F.sum(weight).alias("w"))
+    own = own.groupBy("bucket").agg(F.max(F.struct("k", "c", "w")).alias("main"), F.sum("k").alias("n"), F.sum("w").alias("w")).filter("main.k < n")
+    blocks = [F.greatest(F.ceil(x / block), F.lit(1)).cast("long") for x in (F.col("w") - F.col("main.w"), F.col("w"))]
+    return staged(own.select("bucket", "n", F.col("main.c").alias("main"), blocks[0].alias("asking"), blocks[1].alias("asked")), "dart-open")
+
+
+def _open_pairs(members: DataFrame, texts: DataFrame, component: DataFrame, total: int, most: int) -> DataFrame:
+    """a, b, bucket, as of _blocks, from buckets whose members (bucket, id, n) are of several classes so far."""
+    named = _named(members, component)
+    rows = join_hot(named, _open(named, F.lit(1), BLOCK), ["bucket"], "n", max(total, 1) * BANDS).join(texts.select("id", "sketch"), "id")
+    return staged(_laid(staged(rows, "dart-asking"), "sketch").mapInArrow(_blocks(most), "a long, b long, bucket long"), "dart-found")
+
+
+def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (bucket, i, j, asks, id, class, cells) that come sorted by the first three: links (a, b) of each asking member, one to every other class that it has a verified link to."""
+
+    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        asks = np.asarray(t.column(3))
+        ids, classes = np.asarray(t.column(4)), np.asarray(t.column(5))
+        cells = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column(6)]
+        size = np.array([len(x) for x in cells])
+        to = np.flatnonzero(~asks)
+        flat = np.concatenate([cells[k] for k in to]) if len(to) else np.zeros(0, np.uint32)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(to)), size[to])[order]
+        out = []
+        for k in np.flatnonzero(asks) if len(to) else ():
+            start = np.searchsorted(flat, cells[k], "left")
+            n = np.searchsorted(flat, cells[k], "right") - start
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(to))
+            ok = (both >= SIMILAR * (size[k] + size[to] - both) - 1e-9) & (classes[to] != classes[k])
+            hit = to[ok]
+            _, one = np.unique(classes[hit], return_index=True)
+            out += [(int(ids[k]), int(x)) for x in ids[hit[one]]]
+        return pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    yield from _by_block(batches, block)
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """`block` of the rows of each (bucket, i, j), which come sorted by them."""
+    rows, key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([np.asarray(b.column(i)) for i in range(3)], 1)
+        starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)].tolist()
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            if rows and tuple(keys[s]) != key:
+                yield block(rows)
+                rows = []
+            key = tuple(keys[s])
+            rows.append(b.slice(s, e - s))
+    if rows:
+        yield block(rows)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,18 +370,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def _cell_sets(src: DataFrame, texts: DataFrame, pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-    """id, cells: `known` and those of the pairs' other texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _cell_sets(src: DataFrame, texts: DataFrame, wanted: DataFrame, known: DataFrame | None) -> DataFrame:
+    """id, cells: `known` and those of the other texts of `wanted` (id). A text is read again from the first document that has it."""
+    ids = wanted.select("id").distinct()
     if known is not None:
         ids = ids.join(known.select("id"), "id", "left_anti")
-    ids = staged(ids.join(texts.select("id", "content"), "id"), "dart-ids")
+    ids = staged(ids.join(texts.select("id", "content", "doc"), "id"), "dart-ids")
     n = ids.count()
     if known is not None and not n:
         return known
     if n <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    again = src.join(ids, src["doc_id"] == ids["id"]).select("id", "content", "text")
+    again = src.join(ids, src["doc_id"] == ids["doc"]).select("id", "content", "text")
     sets = staged(again.mapInArrow(_cells_of, "id long, cells binary").dropDuplicates(["id"]), "dart-cells")
     return sets if known is None else known.unionByName(sets)
 
@@ -352,16 +395,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, kept, key for every row: class_id is the smallest doc_id that verified links reach; kept where it is the row's own.
 
     Texts with equal words are one element of the search, whatever their number. Buckets give pairs
-    through representatives first; between classes that stay apart all that may be similar are verified. Null and empty texts are classes of their own.
-    Rows that share a doc_id are one document. A null doc_id counts as the smallest. Extra columns
+    through representatives first; between classes that stay apart all that may be similar are verified.
+    Null and empty texts are classes of their own. Rows that share a doc_id and not the text are
+    texts of their own, each in its class. A null doc_id counts as the smallest. Extra columns
     are ignored; an empty table gives no rows.
     """
     no_id = F.lit(-(2**63))
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc_id"), content_key(docs).alias("key"), "text")
     signed = staged(src.mapInArrow(_sign, "doc_id long, key long, content binary, bands array<long>, sketch binary"), "dart-signatures")
     total = signed.count()
-    texts = signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    texts = staged(texts, "dart-texts")
+    texts = signed.groupBy("content").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    texts = staged(texts.withColumn("id", F.xxhash64("content")), "dart-texts")
     rows = texts.select("id", F.explode("bands").alias("bucket"))
     full = staged(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "dart-buckets")
     members = staged(join_hot(rows, full, ["bucket"], "n", max(total, 1) * BANDS), "dart-members")
@@ -373,27 +417,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = members.filter(F.col("n") > CHUNK).groupBy("bucket").agg(F.min("id").alias("a"), F.max("n").alias("n"))
     meet = join_hot(members.filter(F.col("n") > CHUNK).select("bucket", "id"), heads, ["bucket"], "n", max(total, 1) * BANDS)
     pairs = staged(found.unionByName(meet.filter("a <> id").select("a", F.col("id").alias("b"))).distinct(), "dart-pairs")
-    sets = _cell_sets(src, texts, pairs, None)
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = _cell_sets(src, texts, ends(pairs), None)
     component = connected_components(_links(pairs, sets))
-    # What these pairs left apart is compared in full, until no pair of different classes at LOW or more is unverified in any bucket.
-    rest, most, tested = members.filter("n > 2"), FIRST, pairs
-    while True:
-        found = _open_pairs(rest, texts, component, total, most)
-        pairs = found.filter("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "dart-pairs")
-        if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
-            sets = _cell_sets(src, texts, pairs, sets)
-            links = _links(pairs, sets)
-            if not links.isEmpty():
-                component = connected_components(links.unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        more = found.filter("bucket is not null").select("bucket").distinct()
-        if more.isEmpty():
-            break
-        rest = staged(join_hot(rest.drop("n"), staged(full.join(more, "bucket", "left_semi"), "dart-buckets"), ["bucket"], "n", max(total, 1) * BANDS), "dart-members")
-        most *= GROWTH
-    named = texts.join(component, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"), "copies")
-    worded = join_hot(signed.select("doc_id", "key", "content"), staged(named, "dart-classes"), ["content"], "copies", total).select("doc_id", "key", "class_id")
+
+    def joined(links: DataFrame, component: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return component
+        return connected_components(links.unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
+    # What these pairs left apart is compared in full: in buckets where members have few possible partners pair by pair,
+    found = _open_pairs(members.filter("n > 2"), texts, component, total, FIRST)
+    again = staged(found.filter("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "dart-pairs")
+    if not again.isEmpty():
+        sets = _cell_sets(src, texts, ends(again), sets)
+        component = joined(_links(again, sets), component)
+    # and in the others in blocks, which give only links.
+    more = staged(found.filter("bucket is not null").select("bucket").distinct().join(full, "bucket"), "dart-buckets")
+    if not more.isEmpty():
+        named = _named(join_hot(members.drop("n"), more, ["bucket"], "n", max(total, 1) * BANDS), component)
+        sets = _cell_sets(src, texts, named, sets)
+        sized = staged(named.join(sets.select("id", (F.length("cells") / 4).cast("long").alias("w")), "id"), "dart-sized")
+        rows = join_hot(sized.drop("w"), _open(sized, F.col("w"), BLOCK_CELLS), ["bucket"], "n", max(total, 1) * BANDS).join(sets, "id")
+        links = _laid(rows, "cells").mapInArrow(_proven, "a long, b long")
+        component = joined(staged(links, "dart-links"), component)
+    classes = texts.join(component, "id", "left").select("content", "copies", "doc", F.coalesce("component", "id").alias("component"))
+    classes = staged(classes, "dart-classes")
+    least = staged(classes.groupBy("component").agg(F.min("doc").alias("class_id"), F.count("*").alias("n")), "dart-least")
+    named = staged(join_hot(classes, least, ["component"], "n", max(total, 1)).select("content", "class_id", "copies"), "dart-classes")
+    worded = join_hot(signed.select("doc_id", "key", "content"), named, ["content"], "copies", total).select("doc_id", "key", "class_id")
     wordless = src.filter(~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))).select("doc_id", "key", F.col("doc_id").alias("class_id"))
     out = worded.unionByName(wordless).withColumn("kept", F.col("doc_id") == F.col("class_id"))
     return out.select(F.when(F.col("doc_id") != no_id, F.col("doc_id")).alias("doc_id"), F.when(F.col("class_id") != no_id, F.col("class_id")).alias("class_id"), "kept", "key")
+
+
+#: Every pair that shares a shingle, for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w
+), c AS (SELECT doc_id, sh, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY ALL),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS n FROM c x JOIN c y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+half AS (SELECT a, b FROM both_ JOIN t x ON a = x.doc_id JOIN t y ON b = y.doc_id WHERE both_.n >= 0.8 * (x.n + y.n - both_.n)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+walk(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, w.c FROM walk w JOIN links l ON l.a = w.id)
+SELECT id AS doc_id, min(c) AS class_id, id = min(c) AS kept FROM walk GROUP BY id
+"""
