@@ -354,14 +354,14 @@ _coded("dingbats_encoding", b"/BaseFont /ZapfDingbats", fonts.DINGBATS)
 def _ranged(r: dict) -> bytes:
     """Two-byte codes that are the letters' own points, in a map of ranges: one counted up, one a list."""
     rows = [b"<" + x.encode("utf-16-be").hex().encode() + b"> Tj" for x in r["text"].split("\n")]
-    cmap = b"begincmap 2 beginbfrange <0020> <006F> <0020> <0070> <0072> [<0070> <0071> <0072>] endbfrange 1 beginbfrange <0073> <FFFF> <0073> endbfrange"
+    cmap = b"begincmap 2 beginbfrange <0020> <006F> <0020> <0070> <0072> [<0070> <0071> <0072>] endbfrange 1 beginbfrange <0073> <017F> <0073> endbfrange"
     objects = _pages(b"BT /F1 9 Tf " + b" T* ".join(rows) + b" ET", font=b"<< /Type /Font /Subtype /Type0 /BaseFont /X /Encoding /Identity-H /ToUnicode 93 0 R >>")
     objects[93] = writer.stream(cmap)
     return writer.classic(objects)
 
 
 def _indirect_length(r: dict) -> bytes:
-    objects = _pages(b"95 0 R")
+    objects = _pages(b"[95 0 R]")
     data = _content(r)
     objects[95] = b"<< /Length 96 0 R >>\nstream\n" + data + b"\nendstream"
     objects[96] = b"%d" % len(data)
@@ -428,7 +428,7 @@ def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.documents(_conversation_files(spark, sf_dir), keep=["conv_id"]).select("conv_id", "page_count")
 
 
-@query(f"SELECT conv_id, page_number, text, CAST(NULL AS INT) AS code FROM ({PAGE_ROWS}) WHERE conv_id % 3 <> 0 UNION ALL SELECT DISTINCT conv_id, NULL, NULL, 2 FROM conversations WHERE conv_id % 3 = 0")
+@query(f"SELECT conv_id, page_number, text, CAST(NULL AS INT) AS code FROM ({PAGE_ROWS}) WHERE conv_id % 3 <> 0 UNION ALL SELECT DISTINCT conv_id, NULL, NULL, 3 FROM conversations WHERE conv_id % 3 = 0")
 def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files without a PDF header among others: a row that says so in place of pages."""
     made = with_pdf(turns(spark, sf_dir), lambda r: _conversation_pdf(r)[r["conv_id"] % 3 == 0 :])

@@ -17,7 +17,7 @@ def spread(rows: DataFrame) -> DataFrame:
     """Rows that cost much each, dealt over all cores where the table is small: its partitions then follow its few files
     and row groups, and some hold nothing. A large table stays as it is."""
     n = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(4 * n) if size < 4 * n * WORTH else rows
 
 
