@@ -14,12 +14,15 @@ from folioflow.llm.common import drop_rows, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: null and empty texts among them. Rows that are alike stay or go together; an empty table stays empty."""
     return rules.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines are cut from all but their first document; a document of which nothing is left goes. n_chars, if there, follows the text."""
+    """Repeated runs of lines are cut from all but their first document; a document of which nothing is left goes. n_chars, if there, follows the text.
+
+    Null and empty texts stay as they are; rows that repeat one are cut alike; an empty table stays empty.
+    """
     cut = linedup.dedup_lines(docs).filter("n_lines_removed = 0 or n_lines_left > 0")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -28,18 +31,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the smallest id stays."""
+    """Of near-duplicates the document with the smallest id stays, and rows that repeat it. Null and empty texts stay; an empty table stays empty."""
     found = staged(minhash.near_duplicates(docs).filter("not kept").select("doc_id", "key"), "near-verdict")
     return drop_rows(docs, found)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; null and empty texts never, repeated rows each for itself. An empty table stays empty."""
     return mixing.mix(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of what they decode to."""
+    """Token ids of every document, with digests of the ids and of what they decode to. A null text has no ids; a row gives a row."""
     return bpe.encode_decode(docs)
 
 
@@ -51,7 +54,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: Robust distances, shared darts and merges are not for SQL; tests/llm holds each stage against brute force.
+#: Robust distances, seeded choices and merges are not for SQL. tests/llm holds the operators of the stages against brute force, and the stages against planted cases.
 ORACLE_SQL = None
 
 
