@@ -1,7 +1,6 @@
 """Chat formatting in Spark expressions only.
 
-Turn structs are collected in two levels (runs of CHUNK turn numbers, then conversations), sorted,
-cut into blocks of one role and joined. The template:
+Turn structs are collected by conversation, sorted, cut into blocks of one role and joined. The template:
 
     <|im_start|>ROLE \\n TEXT [<|im_sep|> TEXT]... <|im_end|> \\n
 
@@ -28,23 +27,17 @@ def unescape(c: Column) -> Column:
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, segments: one row a conversation.
-
-    `segments` are the consecutive pieces of `formatted` (text, loss); loss marks each assistant
-    text, and nothing else. Turns are ordered by turn, then role, then text; nulls come first, and
-    a null role or text counts as empty. Repeated rows are turns of their own. A null conv_id is a
-    conversation like others. Other columns are ignored. An empty table gives no rows.
-    A conversation ends in one row by definition; what is shuffled for it is collected in runs of
-    turn numbers first.
+    """conv_id, formatted, loss: one row a conversation.
+
+    `loss` are the spans (start, length) of `formatted`, in bytes of its UTF-8, that are assistant texts; nothing
+    else is. Turns are ordered by turn, then role, then text; nulls come first, and a null role or text
+    counts as empty. Repeated rows are turns of their own. A null conv_id is a conversation like
+    others. Other columns are ignored, whatever their names. An empty table gives no rows.
+    A conversation ends in one row by definition, and is collected for it in one step.
     """
-    rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.floor(F.col("turn") / CHUNK).alias("chunk"),
-        F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("t"),
-    )
-    part = rows.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    whole = part.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "ts"))).alias("parts"))
-    whole = whole.select("conv_id", F.flatten(F.transform("parts", lambda p: p["ts"])).alias("ts"))
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     ts = F.col("ts")
     starts = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i)["role"] != F.get(ts, i - 1)["role"]))
     whole = whole.withColumn("starts", starts)
@@ -61,7 +54,24 @@ def format_chat(turns: DataFrame) -> DataFrame:
         return F.concat(F.flatten(texts), F.array(segment(F.lit(END), F.lit(False))))
 
     whole = whole.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("segments"))
-    return whole.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    return whole.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), _spans(F.col("segments")).alias("loss"))
+
+
+def _spans(segments: Column) -> Column:
+    """Start and length in bytes of the segments under the mask; places are summed up by runs of CHUNK segments, then over the runs."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(segments) - 1) / CHUNK).cast("int")), lambda i: F.slice(segments, i * CHUNK + 1, F.lit(CHUNK)))
+    span = "array<struct<start:bigint,length:bigint>>"
+
+    def add(at: Column, s: Column) -> Column:
+        size = F.octet_length(s["text"]).cast("long")
+        more = F.when(s["loss"], F.array_append(at["spans"], F.struct(at["end"].alias("start"), size.alias("length")))).otherwise(at["spans"])
+        return F.struct((at["end"] + size).alias("end"), more.alias("spans"))
+
+    zero = F.lit(0).cast("long")
+    runs = F.transform(runs, lambda r: F.aggregate(r, F.struct(zero.alias("end"), F.array().cast(span).alias("spans")), add))
+    ends = F.aggregate(runs, F.array(zero), lambda found, r: F.array_append(found, F.element_at(found, -1) + r["end"]))
+    moved = F.zip_with(runs, F.slice(ends, 1, F.size(runs)), lambda r, base: F.transform(r["spans"], lambda s: F.struct((s["start"] + base).alias("start"), s["length"].alias("length"))))
+    return F.flatten(moved)
 
 
 def parse_chat(formatted: Column) -> Column:
@@ -77,14 +87,16 @@ def parse_chat(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def loss_text(segments: Column) -> Column:
-    """The unescaped text under the loss mask."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_text(formatted: Column, loss: Column) -> Column:
+    """The unescaped text under the loss mask, cut out of `formatted`."""
+    raw = F.encode(formatted, "UTF-8")
+    cut = lambda s: F.decode(F.substring(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")), "UTF-8")
+    return F.array_join(F.transform(loss, lambda s: unescape(cut(s))), "")
 
 
 def digest(chats: DataFrame) -> DataFrame:
     """What reading the formatted conversations back gives: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    read = chats.select("conv_id", "formatted", parse_chat(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"))
+    read = chats.select("conv_id", "formatted", parse_chat(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("loss"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
