@@ -423,3 +423,19 @@ def similar_vectors(vectors: DataFrame, limit: float = SIMILAR) -> DataFrame:
     sound = join_hot(rows.filter("sound").select("vec_id", "h1", "h2"), named, ["h1", "h2"], "copies", total).select("vec_id", "n_links", "component_id")
     rest = rows.filter("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return sound.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: Every pair, for small tables.
+ORACLE_SQL = """
+WITH RECURSIVE every AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sound AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM every
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95
+), walk(id, c) AS (SELECT vec_id, vec_id FROM every UNION SELECT l.b, w.c FROM walk w JOIN links l ON l.a = w.id),
+component AS (SELECT id, min(c) AS c FROM walk GROUP BY id), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM every JOIN component ON id = vec_id LEFT JOIN degree ON a = vec_id
+"""

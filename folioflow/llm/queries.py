@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL}
+    return {"op2_warc": warc.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op8_hnsw": hnsw.ORACLE_SQL, "op9_minhash": minhash.ORACLE_SQL}
