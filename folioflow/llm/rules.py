@@ -1,10 +1,14 @@
 """Quality rules: fixed limits, then robust multivariate outliers.
 
 Documents that pass the limits are described by five transformed statistics. For each language and
-source a minimum-covariance-determinant estimate is found by concentration steps: distances under
-the current estimate, the h-quantile of those distances, then mean and covariance of the rows
-within it. A step is two aggregations with partial sums, so a group that holds a third of the rows
-costs no single task more. Rows beyond a Mahalanobis cut are rejected.
+source a minimum-covariance-determinant estimate is sought as FAST-MCD does (Rousseeuw and Van
+Driessen, 1999): many small random subsets of a bounded sample are concentrated, the best go on as
+starts, and each start is concentrated over all rows of the group until its determinant falls no
+further; the smallest determinant wins. A concentration step is one aggregation: distances under the
+current estimate, moments of each bin of distance, and the sum of the bins that hold the nearest
+H_SHARE of the rows. Partial sums make a group that holds a third of the rows cost no single task more.
+Estimates are shrunk, by the weight of PRIOR rows, towards the medians and quartile ranges of all rows,
+so that a group of any size has one. Rows beyond a Mahalanobis cut are rejected.
 """
 
 from __future__ import annotations
@@ -16,20 +20,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import content_key, drop_rows, join_hot, map_columns, null_key, staged
+from .common import BROADCAST_ROWS, content_key, drop_rows, join_hot, map_columns, null_key, staged
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 100
 H_SHARE = 0.75
-STEPS = 5
+#: Rows of a group, about, among which starts are sought; random subsets tried; starts that go on to all rows.
+SAMPLE = 500
+SUBSETS = 40
+STARTS = 2
+#: A step must lower the logarithm of the determinant by this much to be worth another.
+GAIN = 1e-2
+#: Rows whose weight the prior has in a group's mean and covariance.
+PRIOR = 30
 #: Squared distance beyond which a row is an outlier: the chi-squared(5) quantile at about 1 - 1e-12.
 CUT = 65.0
 #: Least standard deviation of each transformed statistic: a share that is nearly always zero must not make one symbol an outlier.
 FLOOR = (0.5, 0.25, 0.25, 0.35, 0.35)
 D = len(FLOOR)
-BIN = 50.0  # bins per unit of log distance
+BIN = 64.0  # bins per unit of the logarithm of a squared distance
+CHI2_MEDIAN = 4.351  # of D degrees of freedom
 
 STAT_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
@@ -89,90 +100,151 @@ def _distance() -> Column:
     return total
 
 
-def _factor(mean: list[float], cov: np.ndarray) -> tuple[list[float], list[float]]:
-    cov = cov + np.diag(np.maximum(0, np.square(FLOOR) - np.diag(cov)))
-    w = np.linalg.inv(np.linalg.cholesky(cov))
-    return [round(float(x), 9) for x in mean], [round(float(w[i, j]), 9) for i in range(D) for j in range(i + 1)]
-
-
-def _start(rows: pd.DataFrame) -> pd.DataFrame:
-    """Medians and quartile ranges, without correlations."""
-    out = []
-    for g, n, q in zip(rows.g, rows.n, rows.q, strict=True):
-        q = np.array([list(x) for x in q])
-        out.append((g, n, *_factor(q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2))))
-    return pd.DataFrame(out, columns=["g", "n", "mean", "w"])
-
-
-def _from_sums(rows: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for g, n, k, s in zip(rows.g, rows.n, rows.k, rows.s, strict=True):
-        mean = np.array(s[:D]) / k
-        cov = np.zeros((D, D))
-        cov[np.tril_indices(D)] = np.array(s[D:]) / k
-        cov = cov + np.tril(cov, -1).T - np.outer(mean, mean)
-        out.append((g, n, *_factor(mean, cov)))
-    return pd.DataFrame(out, columns=["g", "n", "mean", "w"])
-
-
-def _mapped(df: DataFrame, fn) -> DataFrame:  # noqa: ANN001
-    return df.mapInPandas(lambda parts: (fn(p) for p in parts if len(p)), "g string, n long, mean array<double>, w array<double>")
-
+Prior = tuple[list[float], list[float]]
+MODEL = "g string, n long, s int, mean array<double>, w array<double>, log_det double, moved boolean"
 
-def _quantile(rows: DataFrame, share: float) -> DataFrame:
-    """g, cut: the squared distance that `share` of each group's rows don't exceed, to a fiftieth in its logarithm; exact counts, so reruns agree."""
-    bins = rows.groupBy("g", F.floor(F.log(F.col("d2") + 1e-6) * BIN).alias("bin")).count()
-    w = Window.partitionBy("g").orderBy("bin")
-    bins = bins.withColumn("upto", F.sum("count").over(w)).withColumn("all", F.sum("count").over(Window.partitionBy("g")))
-    return bins.filter(F.col("upto") >= F.col("all") * share).groupBy("g").agg(F.exp((F.min("bin") + 1) / BIN).alias("cut"))
 
-
-def _groups(stats: DataFrame) -> DataFrame:
-    """la, so, g, n: the model of each language and source, and its rows. Small groups share their language's model, small languages one model."""
-    pairs = stats.filter("not base_failed").groupBy("la", "so").count()
-    pairs = pairs.withColumn("big", F.col("count") >= MIN_GROUP)
-    rest = F.sum(F.when(~F.col("big"), F.col("count"))).over(Window.partitionBy("la"))
-    own = F.concat(F.length("la").cast("string"), F.lit(":"), "la", "so")
-    g = F.when(F.col("big"), own).when(rest >= MIN_GROUP, F.concat(F.lit("l:"), "la")).otherwise(F.lit("all"))
-    return pairs.select("la", "so", g.alias("g"), F.col("count").alias("pair_n"))
+def _factor(mean: np.ndarray, cov: np.ndarray, k: float, prior: Prior) -> tuple[list[float], list[float], float]:
+    """Mean, inverse Cholesky factor by rows and log-determinant of an estimate from k rows."""
+    share = k / (k + PRIOR)
+    mean = share * mean + (1 - share) * np.array(prior[0])
+    cov = share * cov + (1 - share) * np.diag(prior[1])
+    cov = cov + np.diag(np.maximum(0, np.square(FLOOR) - np.diag(cov)))
+    low = np.linalg.cholesky(cov)
+    w = np.linalg.inv(low)
+    return [round(float(x), 9) for x in mean], [round(float(w[i, j]), 9) for i in range(D) for j in range(i + 1)], float(2 * np.log(np.diag(low)).sum())
+
+
+def _apart(x: np.ndarray, mean: list[float], w: list[float]) -> np.ndarray:
+    """Squared distances of rows."""
+    full = np.zeros((D, D))
+    full[np.tril_indices(D)] = w
+    return np.square((x - np.array(mean)) @ full.T).sum(1)
+
+
+def _concentrated(x: np.ndarray, model: tuple, k: float, prior: Prior, steps: int) -> tuple:
+    """The estimate after so many concentration steps over x, or when they no longer help."""
+    h = max(1, int(np.ceil(H_SHARE * len(x))))
+    for _ in range(steps):
+        near = x[np.argpartition(_apart(x, *model[:2]), h - 1)[:h]]
+        new = _factor(near.mean(0), np.cov(near.T, bias=True), k, prior)
+        if new[2] > model[2] - GAIN:
+            break
+        model = new
+    return model
+
+
+def starts(x: np.ndarray, n: int, prior: Prior) -> list[tuple]:
+    """The STARTS best estimates, of different determinants, that random subsets of the sample x of a group of n rows lead to."""
+    r, k = np.random.default_rng(5), H_SHARE * n
+    x = x[np.lexsort(x.T)]
+    found = [_factor(np.median(x, 0), np.diag(((np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) / 1.349) ** 2), k, prior)]
+    for _ in range(SUBSETS):
+        own = x[r.permutation(len(x))[: D + 1]]
+        found.append(_concentrated(x, (*_factor(own.mean(0), np.cov(own.T, bias=True), k, prior)[:2], np.inf), k, prior, 2))
+    found = sorted((_concentrated(x, m, k, prior, 100) for m in sorted(found, key=lambda m: m[2])[: 4 * STARTS]), key=lambda m: m[2])
+    best = [m for i, m in enumerate(found) if not i or m[2] > found[i - 1][2] + GAIN]
+    return best[:STARTS]
+
+
+def _by_bin(rows: DataFrame, model: DataFrame, models: int, total: int) -> DataFrame:
+    """g, s, n, bin, count, upto, m1..: moments of each bin of distance under each model, and the rows up to its end."""
+    x = [F.col(f"x{i + 1}") for i in range(D)]
+    moments = [*x, *[x[i] * x[j] for i in range(D) for j in range(i + 1)]]
+    far = _with_model(rows, model, models, total).withColumn("bin", F.floor(F.log(_distance() + 1e-6) * BIN))
+    bins = far.groupBy("g", "s", "bin").agg(F.max("n").alias("n"), F.count("*").alias("count"), *[F.sum(m).alias(f"m{i}") for i, m in enumerate(moments)])
+    return bins.withColumn("upto", F.sum("count").over(Window.partitionBy("g", "s").orderBy("bin")))
+
+
+def _with_model(rows: DataFrame, model: DataFrame, models: int, total: int) -> DataFrame:
+    """`rows` with the models of their g: broadcast (some 250 bytes each) up to a tenth of BROADCAST_ROWS, else only those of hot groups."""
+    model = model.select("g", "n", "s", "mean", "w")
+    if models <= BROADCAST_ROWS // 10:
+        return rows.join(F.broadcast(model), "g")
+    return join_hot(rows, model, ["g"], "n", total)
+
+
+def estimates(fit: DataFrame) -> DataFrame:
+    """g, n, s, mean, w, log_det, stretch: the estimate of each group of `fit` (g, x1.., pick: a hash).
+
+    w are the rows of the inverse Cholesky factor. The inner rows' covariance is too small: distances
+    are to be divided by `stretch`, which brings the median of all rows' to the chi-squared one.
+    """
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    everything = fit.agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i + 1}", at, F.lit(10000)).alias(f"q{i}") for i in range(D)]).first()
+    total = everything["n"]
+    q = [everything[f"q{i}"] or [0.0] * 3 for i in range(D)]
+    prior: Prior = ([b for _, b, _ in q], [max(f, (c - a) / 1.349) ** 2 for f, (a, _, c) in zip(FLOOR, q, strict=True)])
+    groups = staged(fit.groupBy("g").agg(F.count("*").alias("n")), "rule-groups")
+    few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rated = fit.join(F.broadcast(groups), "g") if few else join_hot(fit, groups, ["g"], "n", total)
+    picked = rated.filter(F.pmod("pick", F.lit(1 << 30)) * F.col("n") < F.lit(SAMPLE << 30))
+    picked = picked.groupBy("g", *[f"x{i + 1}" for i in range(D)]).agg(F.max("n").alias("n"))
+
+    def begin(part: pd.DataFrame) -> pd.DataFrame:
+        g, n = part.g.iloc[0], int(part.n.iloc[0])
+        found = starts(part[[f"x{i + 1}" for i in range(D)]].to_numpy(), n, prior)
+        # The first step puts the whole group's determinant in the place of the sample's.
+        return pd.DataFrame([(g, n, s, *m[:2], 1e9, True) for s, m in enumerate(found)], columns=[c.split()[0] for c in MODEL.split(", ")])
+
+    def step(parts):  # noqa: ANN001, ANN202
+        for part in parts:
+            out = []
+            for row in part.itertuples(index=False):
+                m = np.array(row.m) / row.k
+                cov = np.zeros((D, D))
+                cov[np.tril_indices(D)] = m[D:]
+                cov = cov + np.tril(cov, -1).T - np.outer(m[:D], m[:D])
+                new = _factor(m[:D], cov, row.k, prior)
+                moved = new[2] < row.log_det - GAIN
+                out.append((row.g, row.n, row.s, *(new if moved else (row.mean, row.w, row.log_det)), moved))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in MODEL.split(", ")])
+
+    tasks = 2 * fit.sparkSession.sparkContext.defaultParallelism
+    model = staged(picked.repartition(tasks, "g").groupBy("g").applyInPandas(begin, MODEL), "rule-model")
+    models = model.count()
+    while True:
+        bins = _by_bin(fit, model.filter("moved"), models, total).filter(F.col("upto") - F.col("count") < F.col("n") * H_SHARE)
+        sums = F.array(*[F.sum(f"m{i}") for i in range(D + D * (D + 1) // 2)])
+        inner = bins.groupBy("g", "s").agg(F.sum("count").alias("k"), sums.alias("m"))
+        known = model.filter("moved").join(inner, ["g", "s"])
+        new = known.select("g", "n", "s", "mean", "w", "log_det", "k", "m").mapInPandas(step, MODEL)
+        model = staged(new.unionByName(model.filter("not moved")), "rule-model")
+        if model.filter("moved").isEmpty():
+            break
+    best = model.groupBy("g").agg(F.min(F.struct("log_det", "s", "n", "mean", "w")).alias("best")).select("g", "best.*")
+    best = staged(best, "rule-model")
+    middle = _by_bin(fit, best, models, total).filter(F.col("upto") >= F.col("n") * 0.5).groupBy("g").agg(F.min("bin").alias("bin"))
+    stretch = F.greatest(F.exp((F.col("bin") + 0.5) / BIN) / CHI2_MEDIAN, F.lit(1.0))
+    return staged(best.join(middle, "g").withColumn("stretch", stretch).drop("bin"), "rule-model")
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, the counts, base_failed, d2 (null where no model applies), kept, and key (its content's hash).
+    """One row per document: doc_id, the counts, base_failed, d2 (null where the limits failed), kept, and key (its content's hash).
 
     Null and empty texts have no words and fail. Null languages and sources are values like others.
-    Repeated rows are judged alike; they count towards their group each. A group with fewer than
-    2 * D + 1 rows after pooling rejects nothing. Extra columns are ignored; an empty table gives no rows.
+    Repeated rows are judged alike; they count towards their group each. Groups of any size have an
+    estimate. Extra columns are ignored, whatever their names; an empty table gives no rows.
     """
     src = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), content_key(docs).alias("key"))
     stats = map_columns(src, _work, f"doc_id long, lang string, source string, key long, {STAT_SCHEMA}")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed).withColumn("la", null_key(F.col("lang"))).withColumn("so", null_key(F.col("source")))
-    stats = staged(stats.select("*", *[x.alias(f"x{i + 1}") for i, x in enumerate(transformed())]), "rule-stats")
-    total = stats.count()
-    groups = staged(_groups(stats), "rule-groups")
-    fit = join_hot(stats.filter("not base_failed").select("la", "so", *[f"x{i + 1}" for i in range(D)]), groups, ["la", "so"], "pair_n", total)
-    fit = staged(fit.drop("la", "so", "pair_n"), "rule-fit")
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = fit.groupBy("g").agg(F.count("*").alias("n"), F.array(*[F.percentile_approx(f"x{i + 1}", at, F.lit(10000)) for i in range(D)]).alias("q"))
-    model = staged(_mapped(quartiles.filter(F.col("n") > 2 * D), _start), "rule-model")
-    sums = [F.sum(f"x{i + 1}") for i in range(D)] + [F.sum(F.col(f"x{i + 1}") * F.col(f"x{j + 1}")) for i in range(D) for j in range(i + 1)]
-    for _ in range(STEPS):
-        far = join_hot(fit, model, ["g"], "n", total).withColumn("d2", _distance()).drop("mean", "w")
-        near = join_hot(far, _quantile(far, H_SHARE).join(model.select("g", "n").withColumnRenamed("n", "m"), "g"), ["g"], "m", total).filter("d2 <= cut")
-        moments = near.groupBy("g").agg(F.max("n").alias("n"), F.count("*").alias("k"), F.array(*sums).alias("s"))
-        model = staged(_mapped(moments, _from_sums), "rule-model")
-    # The covariance of the inner rows is too small: stretch it until the median distance is the chi-squared one.
-    far = join_hot(fit, model, ["g"], "n", total).withColumn("d2", _distance())
-    model = model.join(_quantile(far.select("g", "d2"), 0.5).select("g", F.greatest(F.col("cut") / 4.351, F.lit(1.0)).alias("stretch")), "g")
-    by_pair = groups.join(model, "g").select("la", "so", "pair_n", "mean", "w", "stretch")
-    scored = join_hot(stats, staged(by_pair, "rule-model"), ["la", "so"], "pair_n", total, "left")
-    scored = scored.withColumn("d2", F.when(~F.col("base_failed"), _distance() / F.col("stretch")))
+    la, so = null_key(F.col("lang")), null_key(F.col("source"))
+    stats = stats.withColumns({"base_failed": failed, "g": F.concat(F.length(la).cast("string"), F.lit(":"), la, so)})
+    stats = staged(stats.drop("lang", "source").select("*", *[x.alias(f"x{i + 1}") for i, x in enumerate(transformed())]), "rule-stats")
+    good = stats.filter("not base_failed")
+    model = estimates(good.select("g", F.xxhash64("doc_id", "key").alias("pick"), *[f"x{i + 1}" for i in range(D)]))
+    stretch = model.select("g", "n", "s", "mean", F.transform("w", lambda w: w / F.sqrt("stretch")).alias("w"))
+    scored = _with_model(good, stretch, model.count(), good.count()).withColumn("d2", _distance())
     counts = [x.split()[0] for x in STAT_SCHEMA.split(", ")][:5]
-    return scored.select("doc_id", *counts, "base_failed", "d2", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUT)).alias("kept"), "key")
+    fine = scored.select("doc_id", *counts, "base_failed", "d2", (F.col("d2") <= CUT).alias("kept"), "key")
+    return fine.unionByName(stats.filter("base_failed").select("doc_id", *counts, "base_failed", F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"), "key"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that `judge` keeps, with all their columns."""
+    """The rows of `docs` that `judge` keeps, with all their columns, whatever these are called.
+
+    Null and empty texts go. Rows that are alike stay or go together. An empty table stays empty.
+    """
     verdict = staged(judge(docs).select("doc_id", "key", "kept"), "rule-verdict")
     return drop_rows(docs, verdict.filter("not kept"))
