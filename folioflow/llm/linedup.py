@@ -2,13 +2,17 @@
 
 The sequence of a document is its lines that hold a word. The rank of a suffix after round k is its
 place in the order of all suffixes by their first 2^k lines; round k + 1 sorts the pairs of the
-ranks at a position and 2^k lines further. A suffix whose rank is its own alone can repeat nothing
-longer and drops out, so later rounds work on few rows. Suffixes that agree on L lines, 2^k <= L <
-2^(k+1), are an interval of the suffix array with a longest common prefix of at least L; they have
-the same rank at their start and at L - 2^k lines further. Every suffix is looked up at the L
-at which it comes to MIN_WORDS words (and, so that the end of a run is reached too, at those of the
-shortest such stretches that end at each line). The interval's first suffix is the copy that
-stays; the lines of all the others, whose union is the maximal repeated runs, are deleted.
+ranks at a position and 2^k lines further. A suffix whose rank is its own alone has its place and
+repeats nothing longer, so it drops out; rounds go on until none is left.
+
+An interval of the suffix array whose suffixes have their first L lines in common is known by its
+ranks: for 2^k <= L < 2^(k+1) by those of round k at its start and L - 2^k lines further. First
+every suffix is put into the interval at the L with which it comes to `least` words. From there the
+rounds are walked downwards: an interval of L lines falls into those of L + 2^k. What has company in
+a narrower interval goes on there; the first of that one, in order of documents and lines, also stays
+in the wider one, where it may be a copy of something earlier. So every suffix ends in its deepest interval
+of which it is not the first: that interval's depth is the length of the longest run that
+begins there and came before. The run that came first stays, these are deleted.
 """
 
 from __future__ import annotations
@@ -19,35 +23,26 @@ from hashlib import md5
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, content_key, join_hot, staged
+from .common import content_key, join_hot, staged
 
 MIN_WORDS = 50
+#: Largest table of spans that is broadcast.
+BROADCAST_MB = 48
 NO_ID = -(2**63)
 
 
-def stretches(words: list[int], least: int) -> list[list[int]]:
-    """For each line the lengths, in lines, of the stretches to look up from it."""
-    n, found = len(words), [set() for _ in words]
-    end = total = 0
-    for i in range(n):
-        while end < n and total < least:
+def stretches(words: list[int], least: int) -> list[int]:
+    """For each line the number of lines with which the run from it comes to `least` words; 0 if none does."""
+    found, end, total = [], 0, 0
+    for i, n in enumerate(words):
+        while end < len(words) and total < least:
             total += words[end]
             end += 1
-        if total < least:
-            break
-        found[i].add(end - i)
-        total -= words[i]
-    start, total = n, 0
-    for j in range(n - 1, -1, -1):
-        while start > 0 and total < least:
-            start -= 1
-            total += words[start]
-        if total < least:
-            break
-        found[start].add(j + 1 - start)
-        total -= words[j]
-    return [sorted(x) for x in found]
+        found.append(end - i if total >= least else 0)
+        total -= n
+    return found
 
 
 def _worded(text: str) -> list[bytes]:
@@ -75,7 +70,7 @@ def _explode(least: int):  # noqa: ANN202
 
 
 def _batch(d: list, k: list, line: list, ids: list, spans: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(line, pa.int32()), pa.array(ids, pa.binary()), pa.array(spans, pa.list_(pa.int32()))], ["d", "k", "line", "id", "spans"])
+    return pa.record_batch([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(line, pa.int32()), pa.array(ids, pa.binary()), pa.array(spans, pa.int32())], ["d", "k", "line", "id", "reach"])
 
 
 def _ranked(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -84,35 +79,70 @@ def _ranked(keys: DataFrame, by: list[str]) -> DataFrame:
     return staged(found.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
 
 
+PLACE = ["d", "k", "line"]
+
+
+def suffix_ranks(level: DataFrame) -> list[DataFrame]:
+    """d, k, line, rank of the suffixes that share their first 2^i lines with another, for each round i that has any; level: those of round 0."""
+    found, step = [], 1
+    while not level.isEmpty():
+        found.append(level)
+        ahead = level.select("d", "k", F.col("line").alias("to"), F.col("rank").alias("r2"))
+        pairs = level.withColumnRenamed("rank", "r1").withColumn("to", F.col("line") + step).join(ahead, ["d", "k", "to"])
+        pairs = staged(pairs.select(*PLACE, "r1", "r2"), "line-pairs")
+        # A pair of many rows is a skewed key of a join, which Spark splits.
+        level = staged(pairs.join(_ranked(pairs, ["r1", "r2"]), ["r1", "r2"]).select(*PLACE, "rank"), "line-level")
+        step *= 2
+    return found
+
+
+def _intervals(rows: DataFrame, by: list[str]) -> DataFrame:
+    """`by`, top: the first row of those that share their `by` with another."""
+    return rows.groupBy(*by).agg(F.count("*").alias("m"), F.min(F.struct(*PLACE)).alias("top")).filter("m > 1").drop("m")
+
+
+def _narrowed(rows: DataFrame, level: DataFrame, step: int) -> DataFrame:
+    """`rows` (d, k, line, n, g, first: the interval g of n lines and its first suffix) after the intervals of n + step lines have been told apart."""
+    ahead = level.select("d", "k", F.col("line").alias("to"), F.col("rank").alias("r"))
+    rows = rows.withColumn("to", F.col("line") + F.col("n")).join(ahead, ["d", "k", "to"], "left").drop("to")
+    rows = staged(rows, "line-ahead")
+    rows = rows.join(_intervals(rows.filter("r is not null"), ["g", "r"]), ["g", "r"], "left")
+    stays = F.struct("n", "g", "first")
+    moves = F.struct((F.col("n") + step).alias("n"), F.xxhash64("g", "r").alias("g"), F.col("top").alias("first"))
+    where = F.when(F.col("top").isNull(), F.array(stays)).when(F.struct(*PLACE) == F.col("top"), F.array(stays, moves)).otherwise(F.array(moves))
+    return staged(rows.select(*PLACE, F.explode(where).alias("at")).select(*PLACE, "at.*"), "line-rows")
+
+
 def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """d, k (a document's id and content key), line, n: stretches of lines that are later copies."""
+    """d, k (a document's id and content key), line, n: the longest run of lines from each that came before, if it has `least` words."""
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), content_key(docs).alias("k"), "text")
-    lines = staged(src.mapInArrow(_explode(least), "d long, k long, line int, id binary, spans array<int>"), "lines")
-    first = join_hot(lines, _ranked(lines, ["id"]), ["id"], "n", lines.count())
-    base = staged(first.select("d", "k", "line", "rank", "spans").dropDuplicates(["d", "k", "line"]), "line-level")
-    longest = base.select(F.max(F.array_max("spans"))).first()[0] or 0
-    wanted = base.select("d", "k", "line", F.explode("spans").alias("n"))
-    level, step, found = base.select("d", "k", "line", "rank"), 1, []
-    while step <= longest:
+    lines = staged(src.mapInArrow(_explode(least), "d long, k long, line int, id binary, reach int"), "lines")
+    base = join_hot(lines, _ranked(lines, ["id"]), ["id"], "n", lines.count())
+    base = staged(base.select(*PLACE, "rank", "reach").dropDuplicates(PLACE), "line-level")
+    levels = suffix_ranks(base.select(*PLACE, "rank"))
+    wanted = base.filter("reach > 0").select(*PLACE, F.col("reach").alias("n"))
+    starts = []
+    for i, level in enumerate(levels):
+        tests = wanted.filter((F.col("n") >= 2**i) & (F.col("n") < 2 ** (i + 1))).join(level.withColumnRenamed("rank", "r1"), PLACE)
         ahead = level.select("d", "k", F.col("line").alias("to"), F.col("rank").alias("r2"))
-        tests = wanted.filter((F.col("n") >= step) & (F.col("n") < 2 * step)).join(level.withColumnRenamed("rank", "r1"), ["d", "k", "line"])
-        tests = tests.withColumn("to", F.col("line") + F.col("n") - step).join(ahead, ["d", "k", "to"])
-        tests = staged(tests.select("d", "k", "line", "n", "r1", "r2"), "line-tests")
-        interval = tests.groupBy("n", "r1", "r2").agg(F.count("*").alias("m"), F.min(F.struct("d", "k", "line")).alias("first")).filter("m > 1")
-        copies = join_hot(tests, staged(interval, "line-intervals"), ["n", "r1", "r2"], "m", tests.count())
-        found.append(copies.filter(F.struct("d", "k", "line") > F.col("first")).select("d", "k", "line", "n"))
-        step *= 2
-        if step > longest:
-            break
-        pairs = level.withColumnRenamed("rank", "r1").withColumn("to", F.col("line") + step // 2).join(ahead, ["d", "k", "to"])
-        pairs = staged(pairs.select("d", "k", "line", "r1", "r2"), "line-pairs")
-        level = staged(join_hot(pairs, _ranked(pairs, ["r1", "r2"]), ["r1", "r2"], "n", pairs.count()).select("d", "k", "line", "rank"), "line-level")
-        if level.isEmpty():
-            break
-    out = found[0] if found else wanted.filter("false")
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+        starts.append(tests.withColumn("to", F.col("line") + F.col("n") - 2**i).join(ahead, ["d", "k", "to"]).select(*PLACE, "n", "r1", "r2"))
+    if not starts:
+        return wanted.filter("false")
+    tests = starts[0]
+    for x in starts[1:]:
+        tests = tests.unionByName(x)
+    here = F.struct(*PLACE)
+    tests = staged(tests, "line-tests")
+    by = ["n", "r1", "r2"]
+    rows = tests.join(_intervals(tests, by), by).select(*PLACE, "n", F.xxhash64(*by).alias("g"), F.col("top").alias("first"))
+    rows = staged(rows, "line-rows")
+    # A copy that overlaps the stretch it copies is none.
+    apart = (F.col("first.d") != F.col("d")) | (F.col("first.k") != F.col("k")) | (F.col("line") - F.col("first.line") >= F.col("n"))
+    copies = rows.filter((here > F.col("first")) & apart).select(*PLACE)
+    for i in range(len(levels) - 1, -1, -1):
+        rows = _narrowed(rows, levels[i], 2**i)
+    longest = rows.filter(here > F.col("first")).groupBy(*PLACE).agg(F.max("n").alias("n"))
+    return copies.join(longest, PLACE)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
@@ -132,15 +162,20 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """The rows and columns of `docs` with repeated lines taken out of text, and n_lines_removed, n_lines_left (lines with a word).
 
     Of runs of whole lines with `least` words or more that occur twice or more, in one document or
-    several, the copy first in order of doc_id stays. Null and empty texts stay as they are. Rows
-    that repeat another with its doc_id, text, lang and source are one document and end up alike.
-    A text that is all copies becomes empty. An existing column of either added name is replaced.
-    The spans to delete are broadcast up to BROADCAST_ROWS documents, else joined by a shuffle.
+    several, the copy first in order of doc_id stays. In one document a copy begins after the first
+    `least` words of what it repeats, so of lines that are all alike as many stay as hold `least` words.
+    Null and empty texts stay as they are. Rows that repeat another with its doc_id, text, lang and
+    source are one document and end up alike. A text that is all copies becomes empty. An existing
+    column of either added name is replaced. The spans to delete are broadcast up to BROADCAST_MB, else
+    joined by a shuffle.
     """
-    marks = later_copies(docs, least).groupBy("d", "k").agg(F.collect_set(F.struct("line", "n")).alias("_spans"))
-    marks = staged(marks, "line-marks")
+    # A run that ends where the run from the line before does is part of it.
+    before = F.lag(F.struct("line", "n")).over(Window.partitionBy("d", "k").orderBy("line"))
+    own = later_copies(docs, least).withColumn("before", before)
+    own = own.filter("before is null or before.line + 1 < line or before.line + before.n < line + n")
+    marks = staged(own.groupBy("d", "k").agg(F.collect_list(F.struct("line", "n")).alias("_spans")), "line-marks")
     size = marks.agg(F.count("*"), F.sum(F.size("_spans"))).first()
-    if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= 4 * BROADCAST_ROWS:
+    if 100 * size[0] + 24 * (size[1] or 0) <= BROADCAST_MB << 20:
         marks = F.broadcast(marks)
     names = [c for c in docs.columns if c not in ("n_lines_removed", "n_lines_left")]
     own = "_spans"
