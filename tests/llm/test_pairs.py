@@ -47,25 +47,22 @@ def test_components(spark):
 
 
 def brute_lines(docs: dict[int, str | None], least: int) -> dict[int, list[str]]:
-    """Lines that stay: of every run of worded lines with `least` words or more that came before, all lines go."""
-    seqs = [(i, [x for x in (t or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]) for i, t in sorted(docs.items())]
-    out = {}
-    seen: set[tuple[str, ...]] = set()
-    places = [(i, k) for i, s in seqs for k in range(len(s))]
+    """Lines that stay. A line begins a copy if its shortest run of `least` words came before without overlap; then the longest run from it that came before goes."""
+    by = {i: [x for x in (t or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")] for i, t in sorted(docs.items())}
     first: dict[tuple[str, ...], tuple[int, int]] = {}
-    by = dict(seqs)
-    for i, k in places:
-        for end in range(k + 1, len(by[i]) + 1):
-            first.setdefault(tuple(by[i][k:end]), (i, k))
-    for i, s in seqs:
-        gone: set[int] = set()
+    for i, s in by.items():
         for k in range(len(s)):
             for end in range(k + 1, len(s) + 1):
-                run = tuple(s[k:end])
-                if sum(len(x.split()) for x in run) >= least and first[run] != (i, k):
-                    gone |= set(range(k, end))
+                first.setdefault(tuple(s[k:end]), (i, k))
+    out = {}
+    for i, s in by.items():
+        gone: set[int] = set()
+        for k in range(len(s)):
+            n = next((n for n in range(1, len(s) - k + 1) if sum(len(x.split()) for x in s[k : k + n]) >= least), 0)
+            d, at = first[tuple(s[k : k + n])] if n else (i, k)
+            if (d, at) != (i, k) and (d != i or k - at >= n):
+                gone |= {x for end in range(k + n, len(s) + 1) if first[tuple(s[k:end])] != (i, k) for x in range(k, end)}
         out[i] = [x for k, x in enumerate(s) if k not in gone]
-    assert not seen
     return out
 
 
@@ -75,6 +72,7 @@ def test_line_dedup_equals_brute_force(spark, seed):
     pool = [" ".join(words(r, n)) for n in (1, 2, 3, 4, 5, 12, 30)]
     docs: dict[int, str | None] = {i: "\n".join(r.choice([*pool, *pool[:3], "", "  "]) for _ in range(r.randint(0, 14))) for i in range(40)}
     docs[40], docs[41], docs[42] = docs[3], None, ""
+    docs[43], docs[44] = "\n".join([pool[2]] * 30), "\n".join([pool[0], *[pool[4]] * 17, pool[1]])
     rows = [(i, t, "en", "s") for i, t in docs.items()]
     df = spark.createDataFrame(rows, DOCS).withColumns({"n": F.lit(7), "rank": F.lit("x"), "_spans": F.lit(1), "d": F.lit(2), "k": F.lit(None).cast("int")})
     got = linedup.dedup_lines(df, 12)
@@ -95,6 +93,19 @@ def test_line_dedup_edges(spark):
     assert linedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_dedup_of_equal_lines_and_long_texts(spark):
+    """What repeats itself keeps its first fifty words; a long text is cut as a whole."""
+    line = " ".join("abcdefghijkl")
+    long = "\n".join(f"{i} " + " ".join(f"w{i}x{j}" for j in range(9)) for i in range(3000))
+    rows = [(1, "\n".join([line] * 8), None, None), (2, "\n".join(f"{x} {line}" for x in "abcabcabcabc"), None, None), (3, long, None, None), (4, "top\n" + long + "\nend", None, None), (5, "\n".join(["q" + line] * 20), None, None)]
+    got = {r.doc_id: r for r in linedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1].n_lines_left == 8
+    assert got[2].n_lines_left == 6
+    assert got[3].n_lines_removed == 0
+    assert got[4].text == "top\nend"
+    assert got[5].n_lines_left == 5
+
+
 # MinHash
 
 
@@ -199,8 +210,67 @@ def test_graph_recall_and_round_trip():
     x = r.normal(size=(1500, 24))
     x[700:] = x[r.integers(0, 100, 800)] + r.normal(size=(800, 24)) * 0.05
     g, ids = hnsw.Graph.build(np.arange(1500), x)
-    g, ids = hnsw.Graph.from_bytes(g.to_bytes(ids))
-    true = g.unit @ g.unit.T >= 0.95
-    q, n = g.near(g.unit, 0.95)
-    assert len(q) >= 0.999 * true.sum()
+    g, ids, copies = hnsw.Graph.from_bytes(g.to_bytes(ids, np.ones(1500, int)))
+    true = g.members @ g.members.T >= 0.95
+    found = np.zeros(true.shape, bool)
+    for i, j in g.links(g.members, g.x, g.norm, 0.95):
+        found[i, j] = True
+    np.fill_diagonal(true, False)
+    assert (found & true).sum() >= 0.999 * true.sum()
     assert len(g.layers) > 1
+
+
+@pytest.mark.parametrize("kind", ["scaled", "tight", "middling", "all near"])
+def test_graph_of_a_crowd(kind):
+    """A thousand vectors of one direction, or close to one another, neither hide the others nor one another."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(2500, 32))
+    if kind == "scaled":
+        x[:1000] = x[0] * r.uniform(0.1, 10, (1000, 1))
+    elif kind == "all near":
+        x = 1 + x * 0.1
+    else:
+        x[:1000] = x[0] + x[:1000] * (0.01 if kind == "tight" else 0.15)
+    x[1000:1010] = x[1990:2000] + 0.02
+    g, ids = hnsw.Graph.build(np.arange(2500), x.astype(np.float32).astype(float))
+    unit = g.x / g.norm[:, None]
+    true = unit @ unit.T >= 0.95
+    found = np.zeros(true.shape, bool)
+    for k in range(0, 2500, hnsw.BLOCK):
+        for i, j in g.links(g.members[k : k + hnsw.BLOCK], g.x[k:], g.norm[k:], 0.95):
+            found[i + k, j] = True
+    assert not (found & ~true).any()
+    np.fill_diagonal(true, False)
+    share = ((found & true).sum(1) / np.maximum(true.sum(1), 1))[true.any(1)]
+    assert share.mean() > 0.999 and g.recall >= hnsw.RECALL
+    if kind == "scaled":
+        assert len(g.unit) < 2500 and g.ef < 1000
+
+
+def test_hnsw_recall_over_shards_and_repeated_ids(spark, tmp_path):
+    """Every shard's audit passes, with vectors of the other shards among the probes; rows of one vec_id and several vectors are several."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(2400, 16))
+    x[1200:] = x[r.integers(0, 400, 1200)] + r.normal(size=(1200, 16)) * 0.05
+    x[2000:2300] = x[5] * r.uniform(1, 3, (300, 1))
+    x = x.astype(np.float32).astype(float)
+    ids = np.where(np.arange(2400) < 2390, np.arange(2400), 7)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    _, groups = hnsw.merged(df)
+    for g in hnsw.build_graphs(groups, 4, tmp_path.as_uri()):
+        assert g.recall >= hnsw.RECALL
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = unit @ unit.T >= 0.95
+    comp = components([(int(a), int(b)) for a, b in zip(*np.nonzero(links), strict=True) if a < b], range(len(x)))
+    least: dict[int, int] = {}
+    for i, c in comp.items():
+        least[c] = min(least.get(c, 1 << 60), int(ids[i]))
+    want = Counter((int(ids[i]), int(links[i].sum()) - 1, least[comp[i]]) for i in range(len(x)))
+    got = Counter((a.vec_id, a.n_links, a.component_id) for a in hnsw.similar_vectors(df).collect())
+    assert sum((want - got).values()) <= 0.001 * len(x)
+
+
+def test_hnsw_of_very_large_and_small_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e-200, 2e-200]), (3, [1e300, -1e300]), (4, [float("inf"), 1.0]), (5, [5e-324, 5e-324]), (6, [1.0, 0.0])]
+    got = {a.vec_id: (a.n_links, a.component_id) for a in hnsw.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (0, 3), 4: (0, 4), 6: (0, 6)}

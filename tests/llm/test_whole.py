@@ -56,6 +56,7 @@ def test_audit_sees_small_groups_beside_a_hot_one():
     for others in (None, r.permutation(small[:1])):
         mine = small if others is None else small[1:2]
         g, ids = hnsw.Graph.build(np.arange(1200 + len(mine)), np.concatenate([hot, mine]))
+        assert len(g.unit) == len(ids)
         lost = np.flatnonzero(ids >= 1200)
         g.layers = [np.where(np.isin(x, lost), -1, x) for x in g.layers]
         g.ef = hnsw.EF_START
