@@ -5,6 +5,7 @@ from __future__ import annotations
 import decimal
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,23 @@ def test_query_equals_sql(spark, db, name):
     assert got == want
 
 
+def differences(spark, folder, name: str, texts: list[str]) -> tuple[list, list]:
+    """Rows that only the query gives and rows that only its SQL gives, over documents of these texts."""
+    path = f"{folder}/documents.parquet"
+    duckdb.from_arrow(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})).write_parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    df = queries.queries()[name](spark, str(folder))
+    got = {repr(plain(list(r))) for r in df.collect()}
+    want = {repr(plain(list(r))) for r in con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()}
+    return sorted(got - want), sorted(want - got)
+
+
+def test_kerned_lines_of_any_number_of_words(spark, tmp_path):
+    texts = ["a b", "", " ".join(["word"] * 5000), " ".join(["word"] * 5001), "first\n" + " ".join(f"w{i}" for i in range(20_000)) + "\nlast"]
+    assert differences(spark, tmp_path, "tj_kerning", texts) == ([], [])
+
+
 def test_keyword_filter_cases(spark):
     rows = spark.createDataFrame([("Invoice 2026\n\n\n\nand Batch42Code über café\r\nthe Room7 a",)], "t string")
     out = rows.select(
