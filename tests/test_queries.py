@@ -66,6 +66,11 @@ def test_kerned_lines_of_any_number_of_words(spark, tmp_path):
     assert differences(spark, tmp_path, "tj_kerning", texts) == ([], [])
 
 
+@pytest.mark.parametrize("name", ["metrics_counters", "limit_codes"])
+def test_counters_of_empty_and_blank_texts(spark, tmp_path, name):
+    assert differences(spark, tmp_path, name, ["", " ", "\n", "a", "é" * 499 + "ab", "é" * 500, "x" * 1000, "x" * 1001]) == ([], [])
+
+
 def test_keyword_filter_cases(spark):
     rows = spark.createDataFrame([("Invoice 2026\n\n\n\nand Batch42Code über café\r\nthe Room7 a",)], "t string")
     out = rows.select(
