@@ -27,6 +27,9 @@ DOCUMENT = (
     f"details map<string,string>, warnings array<string>, page_count int, metrics struct<{METRICS}>, error struct<code: int, message: string>"
 )
 
+#: Most rows of a batch that is given back, and about its most bytes.
+ROWS, BYTES = 1000, 1 << 20
+
 
 def _keep(df: DataFrame, content: str, password: str | None, keep: list[str] | None) -> tuple[DataFrame, list[str]]:
     names = [c for c in df.columns if c not in (content, password)] if keep is None else keep
@@ -40,28 +43,40 @@ def _arrow(schema: StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def _weight(row: dict) -> int:
+    """About the bytes that a row holds, its texts above all."""
+    return 100 + sum(len(v) if isinstance(v, (str, bytes)) else sum(len(x["text"]) for x in v) if k == "pages" else 0 for k, v in row.items())
+
+
 def _run(df: DataFrame, names: list[str], columns: str, each, options: Options) -> DataFrame:  # noqa: ANN001
-    """`each(bytes, password)` gives the rows of a document as dicts; kept columns are repeated beside them."""
+    """`each(bytes, password)` gives the rows of a document as dicts; kept columns are repeated beside them. Rows of several
+    documents share a batch, up to `ROWS` of them or `BYTES`."""
     out = StructType([df.schema[n] for n in names] + StructType.fromDDL(columns).fields)
     kept, own = _arrow(StructType([df.schema[n] for n in names])), _arrow(StructType.fromDDL(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            contents, secrets = b.column(len(names)), b.column(len(names) + 1)
+            at: list[int] = []
+            rows: list[dict] = []
+            size = 0
             for i in range(b.num_rows):
-                data, secret = b.column(len(names))[i].as_py(), b.column(len(names) + 1)[i].as_py()
+                data = contents[i].as_py()
                 if data is None:
                     continue
-                rows: list[dict] = []
-                for row in each(data, (secret or "").encode()):
+                for row in each(data, (secrets[i].as_py() or "").encode()):
+                    at.append(i)
                     rows.append(row)
-                    if len(rows) >= 1000:
-                        yield _batch(b, i, rows)
-                        rows = []
-                if rows:
-                    yield _batch(b, i, rows)
-
-    def _batch(b: pa.RecordBatch, i: int, rows: list[dict]) -> pa.RecordBatch:
-        cols = [pa.array([b.column(k)[i].as_py()] * len(rows), kept.field(k).type) for k in range(len(names))]
+                    size += _weight(row)
+                    if len(rows) >= ROWS or size >= BYTES:
+                        yield _batch(b, at, rows)
+                        at, rows, size = [], [], 0
+            if rows:
+                yield _batch(b, at, rows)
+
+    def _batch(b: pa.RecordBatch, at: list[int], rows: list[dict]) -> pa.RecordBatch:
+        index = pa.array(at, pa.int32())
+        cols = [b.column(k).take(index).cast(kept.field(k).type) for k in range(len(names))]
         cols += [pa.array([r[f.name] for r in rows], f.type) for f in own]
         return pa.RecordBatch.from_arrays(cols, names=[*names, *own.names])
 

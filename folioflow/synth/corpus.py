@@ -9,16 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Bytes of input that keep one core busy long enough; tables with fewer a core are dealt anew.
-WORTH = 16 << 20
+#: Rows of a partition at most, about: their files, and batches of them, stay small however large the table is.
+PART_ROWS = 2048
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows that cost much each, dealt over all cores where the table is small: its partitions then follow its few files
-    and row groups, and some hold nothing. A large table stays as it is."""
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(4 * n) if size < 4 * n * WORTH else rows
+    """Rows that cost much each, dealt over all cores: a table's own partitions follow its few files and row groups, and some hold
+    nothing. They are counted, since a file's size says little of what it holds when its texts repeat."""
+    n = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(n, -(-rows.count() // PART_ROWS)))
 
 
 def with_pdf(rows: DataFrame, build: Callable[[dict], bytes]) -> DataFrame:
