@@ -356,3 +356,16 @@ def test_dates_of_every_shape():
             assert iso_date("D:" + "20240229131415"[:n] + zone) == shown + iso
     for bad in ("D:20230229", "D:0000", "D:20240229131460", "D:2024022924", "D:2024+24", "D:2024+0560", "D:2024+05'", "D:202", "2024", "D:2024z", "D:2024 ", "D:२०२४", "D:20241301"):
         assert iso_date(bad) == bad
+
+
+def test_ciphers_agree_with_their_plain_forms():
+    import random
+
+    rng = random.Random(5)
+    for size in (0, 16, 160, 4000):
+        for width in (16, 32):
+            data, key, iv = rng.randbytes(size), rng.randbytes(width), rng.randbytes(16)
+            cipher = crypto._cbc_encrypt(data, key, iv)
+            assert crypto.aes_cbc_encrypt(data, key, iv) == cipher
+            assert crypto.aes_cbc_decrypt(cipher, key, iv) == data == (crypto._cbc_decrypt(cipher, key, iv) if size else b"")
+        assert crypto.rc4(data, key[:5]) == crypto._rc4(data, key[:5])
