@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import pytest
@@ -359,8 +360,6 @@ def test_dates_of_every_shape():
 
 
 def test_ciphers_agree_with_their_plain_forms():
-    import random
-
     rng = random.Random(5)
     for size in (0, 16, 160, 4000):
         for width in (16, 32):
@@ -369,3 +368,15 @@ def test_ciphers_agree_with_their_plain_forms():
             assert crypto.aes_cbc_encrypt(data, key, iv) == cipher
             assert crypto.aes_cbc_decrypt(cipher, key, iv) == data == (crypto._cbc_decrypt(cipher, key, iv) if size else b"")
         assert crypto.rc4(data, key[:5]) == crypto._rc4(data, key[:5])
+
+
+def test_png_rows_of_any_width_come_back():
+    rng = random.Random(6)
+    for row, unit in ((1, 1), (6, 6), (16, 2), (127, 1), (128, 4), (300, 3)):
+        data = rng.randbytes(row * 11)
+        assert filters.predict(w.png_encode(data, row, unit), 15, unit, 8, row // unit) == data
+    data = rng.randbytes(200_000)
+    began = time.process_time()
+    packed = w.ascii85_encode(w.png_encode(data, 32))
+    assert time.process_time() - began < 0.1  # in arrays, not byte by byte
+    assert filters.predict(filters.ascii85(packed), 15, 1, 8, 32) == data
