@@ -85,6 +85,10 @@ COUNTERS = (
 TIMINGS = ("first_page_ms", "duration_ms", "peak_memory_bytes")
 
 
+def utf8_size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 @dataclass
 class Budget:
     options: Options
@@ -130,7 +134,7 @@ class Budget:
 
     def bounded(self, parts: list[str], size: int, more: str) -> int:
         """Append to a text under construction; its new size in bytes."""
-        size += len(more.encode("utf-8", "surrogatepass"))
+        size += utf8_size(more)
         if size > self.options.maxExtractedTextBytes:
             raise limit("Extracted text exceeds maxExtractedTextBytes.")
         parts.append(more)
