@@ -199,7 +199,7 @@ def encode_decode(docs: DataFrame, rank_path: str | None = None, pattern: str |
 
     A map over rows without a shuffle, so a lost executor costs its own tasks only. The rank file
     (under a MB) is read once on the driver and broadcast; memory is bounded by CHUNK_CHARS, the
-    piece cache and the longest text. Null and empty texts have no tokens. Repeated rows and null ids give a row each.
+    piece cache, which a task drops at its end, and the longest text. Null and empty texts have no tokens. Repeated rows and null ids give a row each.
     Other columns, whatever their names, are ignored. An empty table gives no rows.
     """
     own = default_vocabulary()
@@ -233,5 +233,8 @@ def encode_decode(docs: DataFrame, rank_path: str | None = None, pattern: str |
             out["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat)
         return pa.record_batch(out)
 
+    def done() -> None:
+        codec(shared.value, pattern).cache.clear()
+
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return map_columns(docs.select(F.col("doc_id").cast("long"), "text"), work, schema)
+    return map_columns(docs.select(F.col("doc_id").cast("long"), "text"), work, schema, done)

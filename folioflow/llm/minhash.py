@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, content_key, join_hot, staged
+from .common import BROADCAST_ROWS, connected_components, content_key, give_back, join_hot, staged
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -156,6 +156,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols += [pa.array([_content(d) for d in docs], pa.binary()), lists, pa.array([x.tobytes() for x in sketch], pa.binary())]
             yield pa.record_batch(cols, ["doc_id", "key", "content", "bands", "sketch"]).filter(pa.array(some))
     _words.clear()  # a worker process lives on for other stages
+    give_back()
 
 
 def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +168,7 @@ def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = pa.array([_content(d) == c for d, c in zip(docs, b.column(1).slice(start, len(docs)).to_pylist(), strict=True)])
             yield pa.record_batch([b.column(0).slice(start, len(docs)), pa.array(own, pa.binary())], ["id", "cells"]).filter(same)
     _words.clear()
+    give_back()
 
 
 def link(ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:

@@ -62,6 +62,21 @@ def test_bpe_long_pieces_and_repeats(codec, encoding):
         assert ids(got) == want
 
 
+def test_bpe_leaves_no_pieces_in_its_workers(spark):
+    words = frame(spark, [(i, " ".join(f"w{i}x{k}" for k in range(200)), None, None) for i in range(40)]).repartition(2)
+    assert bpe.encode_decode(words).count() == 40
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.record_batch({"n": pa.array([sum(len(x.cache) for x in gc.get_objects() if isinstance(x, bpe.Codec))], pa.int64())})
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_bpe_operator(spark, encoding):
     texts = [None, "", "Hello world", "x" * 200_000, "<|endoftext|>"]
     df = frame(spark, [(i, t, None, None) for i, t in enumerate(texts)] + [(2, "Hello world", "en", "s"), (None, "a", None, None)])
