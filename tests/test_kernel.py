@@ -402,3 +402,20 @@ def test_strings_in_arrays_and_blanks_before_a_token():
     found = parse_content(page)
     assert found.pages[0].text == "a bc)(d)ef"
     assert found.metrics["content_tokens"] == 17
+
+
+def test_what_documents_share_is_read_once_and_lines_in_one_step(monkeypatch):
+    from folioflow.kernel import lexer
+
+    lines = [f"line {i}" for i in range(100)]
+    for how in ({}, {"xref": False}):
+        made = [w.classic(w.page_objects([w.lines_content("\n".join([*lines, last]))]), **how) for last in ("a", "b")]
+        assert parse_content(made[0]).pages[0].text.split() == " ".join([*lines, "a"]).split()
+        calls = {"value": 0, "token": 0}
+        with monkeypatch.context() as m:
+            for cls, name in ((lexer.Lexer, "value"), (lexer.ContentLexer, "token")):
+                m.setattr(cls, name, lambda self, *a, _own=getattr(cls, name), _name=name: (calls.update({_name: calls[_name] + 1}), _own(self, *a))[1])
+            found = parse_content(made[1])
+        assert found.pages[0].text.split() == " ".join([*lines, "b"]).split()
+        assert found.metrics["content_tokens"] == 312
+        assert calls["value"] <= 5 and calls["token"] <= 20
