@@ -23,15 +23,20 @@ def trim_both(c: Column, chars: str) -> Column:
     return F.trim(c, F.lit(chars))
 
 
+#: What `normalize_text` changes other than at the ends: a control character, tab or no-break space, a space before a blank or a line end, a second blank line.
+UNEVEN = "[\\x00-\\x20\\u00A0\\u202F](?:(?<=[^\\n ])|(?<= )[ \\n]|(?<=\\n)\\n\\n)"
+
+
 def normalize_text(c: Column) -> Column:
-    """Line ends to LF, control characters out, no-break spaces to spaces, runs of blanks to one, none at line ends, at most one blank line."""
-    c = _replace(c, "\r\n?", "\n")
-    c = _replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
-    c = F.translate(c, "  ", "  ")
-    c = _replace(c, "[ \\t]+", " ")
-    c = _replace(c, "(?dm) +$", "")
-    c = _replace(c, "\\n{3,}", "\n\n")
-    return trim_both(c, " \t\n")
+    """Line ends to LF, control characters out, no-break spaces to spaces, runs of blanks to one, none at line ends, at most one blank line.
+
+    A text that is so already is only looked through once and trimmed."""
+    even = _replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    even = _replace(even, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
+    even = _replace(even, "[ \\t\\u00A0\\u202F]+", " ")
+    even = F.replace(even, F.lit(" \n"), F.lit("\n"))
+    even = _replace(even, "\\n{3,}", "\n\n")
+    return trim_both(F.when(F.regexp_like(c, F.lit(UNEVEN)), even).otherwise(c), " \t\n")
 
 
 def document_text(pages: Column, first_pages: int | None = None) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import decimal
 import os
+import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -185,3 +187,21 @@ def test_decoder_columns(spark):
     assert [None if x is None else bytes(x) for x in got] == [b"Hello world", None, None]
     shown = rows.limit(1).select(decoders.decode_text(F.lit(b"ab"), "Symbol"), decoders.document_string(F.lit(b"\xfe\xff\x00A")), decoders.parse_cmap(F.lit(b"1 beginbfchar <01> <0041> endbfchar"))).first()
     assert list(shown) == ["αβ", "A", {"01": "A"}]
+
+
+def test_normalize_text_only_looks_through_even_texts(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("  \n\n\r\t  \x01\x0b\u0085abé") for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    texts += ["".join(r.choice("  \nab") for _ in range(9)) for _ in range(1000)]
+
+    def plain(x):
+        x = re.sub("\r\n?", "\n", x)
+        x = re.sub("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "", x).translate({0xA0: " ", 0x202F: " "})
+        x = re.sub(" +(?=\n|\\Z)", "", re.sub("[ \t]+", " ", x))
+        return re.sub("\n{3,}", "\n\n", x).strip(" \t\n")
+
+    c = F.col("t")
+    found = spark.createDataFrame([(x,) for x in texts], "t string").select("t", text.normalize_text(c).alias("n"), F.regexp_like(c, F.lit(text.UNEVEN)).alias("uneven")).collect()
+    assert [x.n for x in found] == [plain(x.t) for x in found]
+    assert all(x.uneven for x in found if x.n != x.t.strip(" \t\n"))
+    assert any(not x.uneven and "\n\n" in x.n and " " in x.n for x in found)
