@@ -22,8 +22,8 @@ from .common import map_columns
 
 NONE = np.int32(2**31 - 1)
 WIDEST = 64
-CACHED = 600_000
-CHUNK_CHARS = 1_500_000
+CACHED = 200_000
+CHUNK_CHARS = 600_000
 
 
 class Codec:
@@ -198,7 +198,7 @@ def encode_decode(docs: DataFrame, rank_path: str | None = None, pattern: str |
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids (array<int>) for every row.
 
     A map over rows without a shuffle, so a lost executor costs its own tasks only. The rank file
-    (under a MB) is read once on the driver and broadcast; memory is bounded by CHUNK_CHARS, the
+    (under a MB) is read once on the driver and broadcast; memory is bounded by PART_BYTES of rows at a time, CHUNK_CHARS, the
     piece cache, which a task drops at its end, and the longest text. Null and empty texts have no tokens. Repeated rows and null ids give a row each.
     Other columns, whatever their names, are ignored. An empty table gives no rows.
     """

@@ -65,14 +65,24 @@ def give_back() -> None:
         trim(0)
 
 
+#: About the most bytes of rows that `map_columns` hands on at once.
+PART_BYTES = 2 << 20
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about PART_BYTES, a row at least: what is made of a slice, here and in the JVM, stays as small."""
+    n = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, 1))
+    for k in range(0, batch.num_rows, n):
+        yield batch.slice(k, n)
+
+
 def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
-    """Arrow batches through `fn`, one in memory at a time. `done` drops what a task leaves in its worker."""
+    """Parts of Arrow batches through `fn`, one in memory at a time. `done` drops what a task leaves in its worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for b in batches:
-                if b.num_rows:
-                    yield fn(b)
+                yield from map(fn, parts(b))
         finally:
             if done is not None:
                 done()

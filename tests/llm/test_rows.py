@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -542,3 +543,21 @@ def test_pipeline_stages_on_nothing_and_on_repeats(spark):
         if name != "byte_bpe":
             assert none.columns == docs.columns == full.columns
     assert {x.doc_id for x in docs.collect()} == {1, None}
+
+
+def test_maps_hand_on_small_parts(spark):
+    """What Python makes of a batch, and the JVM's copy of it, is as small as the part; the rows and their order stay."""
+    from folioflow.llm import common
+
+    rows = [(i, "x" * (3000 if i % 7 else 0)) for i in range(6000)]
+
+    def work(b):
+        assert b.num_rows and b.nbytes <= 2 * common.PART_BYTES
+        return pa.record_batch({"doc_id": b.column(0), "n": pa.array([b.num_rows] * b.num_rows, pa.int64())})
+
+    out = common.map_columns(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), work, "doc_id long, n long").collect()
+    assert [x.doc_id for x in out] == [x[0] for x in rows]
+    assert max(x.n for x in out) < 2000
+    wide = pa.record_batch({"t": ["x" * (3 * common.PART_BYTES)] * 3})
+    assert [b.num_rows for b in common.parts(wide)] == [1, 1, 1]
+    assert list(common.parts(wide.slice(0, 0))) == []
