@@ -54,6 +54,10 @@ class Options:
             elif value < (0 if name == "streamingThreshold" else 1):
                 raise ValueError(f"{name} is too small")
 
+    def __hash__(self) -> int:
+        """Of a few, as what documents share is looked up by it often."""
+        return hash((self.maxObjects, self.maxRecursionDepth, self.maxArrayElements))
+
     @classmethod
     def of(cls, given: dict[str, str] | None) -> Options:
         """From strings or numbers; names may be in any case."""
